@@ -12,6 +12,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webcorpus.functions.binding import lookup
+
 _OPEN = r"(?:[\s/][^>]*)?>"
 # inside of a tag: quoted values may hold ">"
 _IN_TAG = r"""(?:[^"'>]++|"[^"]*+"|'[^']*+'|["'])*+"""
@@ -81,39 +83,46 @@ def _from_codepoint(code: Column) -> Column:
     return F.when(valid, F.decode(utf32, "UTF-32")).otherwise("")
 
 
-def _reference(piece: Column) -> Column:
-    """Text after an ampersand -> the text with a leading reference decoded."""
-    name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1)
-    number = F.regexp_extract(piece, r"^#([xX][0-9A-Fa-f]+|[0-9]+)", 1)
-    # nine digits are beyond the last code point already
-    digits = F.regexp_replace(F.substring(F.regexp_replace(number, "^[xX]?0*", ""), 1, 9), "^$", "0")
-    code = F.when(
-        F.lower(F.substring(number, 1, 1)) == "x", F.conv(digits, 16, 10).cast("bigint")
-    ).otherwise(F.conv(digits, 10, 10).cast("bigint"))
-    table = F.create_map(
-        *[F.lit(x) for n, c in sorted(name2codepoint.items()) for x in (n, chr(c))]
-    )
-    known = (
-        F.when(name == "amp", "&").when(name == "quot", '"').when(name == "lt", "<")
-        .when(name == "gt", ">").when(name == "nbsp", " ").when(name == "apos", "'")
-        .otherwise(F.try_element_at(table, name))
+def _codepoint(digits: Column) -> Column:
+    """Number of `#65` or `#x41` digits; nine of them are beyond any character."""
+    nine = F.substring(F.regexp_replace(digits, "^[xX]?0*", "0"), 1, 10)
+    is_hex = F.lower(F.substring(digits, 1, 1)) == "x"
+    return F.when(is_hex, F.conv(nine, 16, 10)).otherwise(F.conv(nine, 10, 10)).cast("bigint")
+
+
+def _split_reference(piece: Column) -> Column:
+    """The text after an ampersand with the reference it may start with."""
+    return F.struct(
+        piece.alias("text"),
+        F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1).alias("name"),
+        F.regexp_extract(piece, r"^#([xX][0-9A-Fa-f]+|[0-9]+)", 1).alias("digits"),
     )
-    after_name = F.substr(piece, F.length(name) + 2)
-    after_number = F.regexp_replace(piece, r"^#(?:[xX][0-9A-Fa-f]+|[0-9]+);?", "")
+
+
+def _join_reference(piece: Column) -> Column:
+    name, digits, text = piece["name"], piece["digits"], piece["text"]
+    rest = F.substr(text, F.length(name) + 2)
+    number = F.transform(F.array(_codepoint(digits)), _from_codepoint)
+    table = {n: chr(c) for n, c in sorted(name2codepoint.items())} | {"apos": "'"}
     return (
-        F.when(number != "", F.concat(_from_codepoint(code), after_number))
-        .when(name == "", F.concat(F.lit("&"), piece))
-        .otherwise(F.coalesce(F.concat(known, after_name), F.concat(F.lit("&"), piece)))
+        F.when(name == "amp", F.concat(F.lit("&"), rest))
+        .when(name != "", F.coalesce(F.concat(lookup(table, name), rest), F.concat(F.lit("&"), text)))
+        .when(
+            digits != "",
+            F.concat(F.get(number, 0), F.regexp_replace(text, r"^#[xX]?[0-9A-Fa-f]+;?", "")),
+        )
+        .otherwise(F.concat(F.lit("&"), text))
     )
 
 
 def unescape(text: Column) -> Column:
     """Named and numeric character references decoded, each exactly once."""
     pieces = F.split(text, "&", -1)
-    decoded = F.transform(
-        pieces, lambda piece, i: F.when(i == 0, piece).otherwise(_reference(piece))
+    tail = F.transform(
+        F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _split_reference), _join_reference
     )
-    return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
+    decoded = F.concat(F.get(pieces, 0), F.array_join(tail, ""))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 # --- blocks -----------------------------------------------------------------------
@@ -153,68 +162,75 @@ def attribute_pattern(tag: str, name: str) -> str:
 
 
 def attribute(markup: Column, tag: str, name: str) -> Column:
-    """Decoded value of the attribute in the first such tag, '' if there is none."""
-    return unescape(unquoted(F.regexp_extract(markup, attribute_pattern(tag, name), 1)))
-
-
-def _text_or_null(text: Column) -> Column:
-    return F.nullif(squeeze(text), F.lit(""))
+    """Value of the attribute in the first such tag as it is written, '' if there is none."""
+    return unquoted(F.regexp_extract(markup, attribute_pattern(tag, name), 1))
 
 
-def _inner_text(markup: Column) -> Column:
-    return _text_or_null(unescape(strip_tags(F.regexp_replace(markup, "(?i)<br", " <br"))))
+def plain(markup: Column) -> Column:
+    """Text of inline markup."""
+    return squeeze(unescape(strip_tags(F.regexp_replace(markup, "(?i)<br", " <br"))))
 
 
-def title(markup: Column) -> Column:
-    """Text of the only h1, else of the title element, else of the first h1."""
-    headings = F.filter(
-        F.transform(
-            F.regexp_extract_all(
-                markup, F.lit(rf"(?is)<h1{_OPEN}((?:[^<]++|<(?!/h1))*+)(?:</h1|\z)"), F.lit(1)
-            ),
-            _inner_text,
-        ),
-        lambda t: t.isNotNull(),
-    )
-    tagged = _text_or_null(
-        unescape(F.regexp_extract(markup, rf"(?is)<title{_OPEN}(.*?)</title\s*>", 1))
+def texts(markup: Column) -> Column:
+    """The title element, the html element's lang, the first time element's datetime,
+    then every h1, as text ('' if there is none)."""
+    found = F.array(
+        F.regexp_extract(markup, rf"(?is)<title{_OPEN}(.*?)</title\s*>", 1),
+        attribute(markup, "html", "lang"),
+        attribute(markup, "time", "datetime"),
     )
-    return F.coalesce(
-        F.when(F.size(headings) == 1, F.get(headings, 0)), tagged, F.get(headings, 0)
+    headings = F.regexp_extract_all(
+        markup, F.lit(rf"(?is)<h1{_OPEN}((?:[^<]++|<(?!/h1))*+)(?:</h1|\z)"), F.lit(1)
     )
+    return F.transform(F.concat(found, headings), plain)
 
 
-def meta(markup: Column, names: tuple[str, ...]) -> Column:
-    """Content of the first meta tag that carries one of the names, else NULL."""
+def metas(markup: Column) -> Column:
+    """All meta tags as (key, content)."""
     tags = F.regexp_extract_all(markup, F.lit(rf"(?is)<meta(?=[\s/]){_IN_TAG}>"), F.lit(0))
-    keys = "|".join(names)
-    wanted = rf"""(?is)[\s"'](?:name|property|http-equiv|itemprop)\s*=\s*["']?(?:{keys})["'\s/>]"""
-    values = F.transform(
-        F.filter(tags, lambda tag: tag.rlike(wanted)),
-        lambda tag: _text_or_null(attribute(tag, "meta", "content")),
+    key = r"""(?is)[\s"'](?:name|property|http-equiv|itemprop)\s*=\s*["']?([^\s"'>]*)"""
+    return F.transform(
+        tags,
+        lambda tag: F.struct(
+            F.lower(F.regexp_extract(tag, key, 1)).alias("key"),
+            plain(attribute(tag, "meta", "content")).alias("content"),
+        ),
     )
-    return F.get(F.filter(values, lambda v: v.isNotNull()), 0)
 
 
-def language(markup: Column) -> Column:
-    """Primary subtag of the html element's lang, then of the content-language meta."""
-    def primary(tag: Column) -> Column:
-        return F.nullif(F.lower(F.regexp_extract(tag, r"^\s*([A-Za-z]{2,8})(?![A-Za-z])", 1)), F.lit(""))
+def meta(tags: Column, *keys: str) -> Column:
+    """Content of the first meta tag with one of the keys, else NULL."""
+    return F.get(F.filter(tags, lambda tag: tag["key"].isin(*keys) & (tag["content"] != "")), 0)[
+        "content"
+    ]
 
+
+def title(found: Column) -> Column:
+    """The only h1 of the page, else its title element, else its first h1."""
+    headings = F.filter(F.slice(found, F.lit(4), F.size(found)), lambda text: text != "")
     return F.coalesce(
-        primary(attribute(markup, "html", "lang")), primary(meta(markup, ("content-language",)))
+        F.when(F.size(headings) == 1, F.get(headings, 0)),
+        F.nullif(F.get(found, 0), F.lit("")),
+        F.get(headings, 0),
     )
 
 
-def author(markup: Column) -> Column:
-    return meta(markup, ("author", "article:author", "dc.creator"))
+def language(found: Column, tags: Column) -> Column:
+    """Primary subtag of the html element's lang, else of the content-language meta."""
+    def primary(code: Column) -> Column:
+        return F.nullif(F.lower(F.regexp_extract(code, "^([A-Za-z]{2,8})(?![A-Za-z])", 1)), F.lit(""))
+
+    return F.coalesce(primary(F.get(found, 1)), primary(meta(tags, "content-language")))
+
+
+def author(tags: Column) -> Column:
+    return meta(tags, "author", "article:author", "dc.creator")
 
 
-def date(markup: Column) -> Column:
+def date(found: Column, tags: Column) -> Column:
     """Publication date as an ISO string, from article metadata or a time element."""
     raw = F.coalesce(
-        meta(markup, ("article:published_time", "datepublished", "dc.date", "date")),
-        _text_or_null(attribute(markup, "time", "datetime")),
+        meta(tags, "article:published_time", "datepublished", "dc.date", "date"), F.get(found, 2)
     )
     return F.nullif(F.regexp_extract(raw, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from webcorpus import config
 from webcorpus.functions import urls
+from webcorpus.functions.binding import let, lookup
 
 _PREFIX = rf"^(?:{urls.SCHEME}:)?(?://[^/?#]*)?"
 _PATH = _PREFIX + r"/([a-z]{2})(?:-[a-z]{2})?(?:/|;[^/?#]*(?:[?#]|$)|[?#]|$)"
@@ -33,10 +34,8 @@ def _allowlisted(host: Column) -> Column:
 
 
 def _tld_language(host: Column) -> Column:
-    table = F.create_map(
-        *[F.lit(x) for t, langs in config.TLD_LANGUAGES.items() for x in (t, langs[0])]
-    )
-    return F.try_element_at(table, _tld(host))
+    primary = {tld: languages[0] for tld, languages in config.TLD_LANGUAGES.items()}
+    return lookup(primary, _tld(host))
 
 
 def _subdomain_language(host: Column) -> Column:
@@ -77,8 +76,8 @@ def is_non_eu(url: Column) -> Column:
     return F.coalesce(tld(url).isin(config.NON_EU_TLDS), F.lit(False))
 
 
-def predict_for_host(url: Column, host: Column) -> Column:
-    """The whole chain for a URL whose host is known; the order is the contract."""
+def _predict(link: Column) -> Column:
+    url, host = link["url"], link["host"]
     guess = F.coalesce(
         _tld_language(host),
         _subdomain_language(host),
@@ -90,9 +89,11 @@ def predict_for_host(url: Column, host: Column) -> Column:
 
 
 def predict_language(url: Column) -> Column:
-    return predict_for_host(url, urls.host(url))
+    """The whole chain; the order of the rules is the contract."""
+    return let(F.struct(url.alias("url"), urls.host(url).alias("host")), _predict)
 
 
 def keep_language(language: Column, allowed: list[str]) -> Column:
     """True for unknown languages and for the allowed ones; ``SKIP`` never passes."""
-    return language.isNull() | language.isin([x for x in allowed if x != config.SKIP])
+    known = [code for code in allowed if code != config.SKIP]
+    return F.coalesce(language, F.lit("")).isin("", *known)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webcorpus.functions.binding import let
+
 SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 _HEAD = rf"^(?:{SCHEME}:)?"
 
@@ -183,14 +185,14 @@ def resolve_parts(base: Column, ref: Column) -> Column:
 
 def resolve(base: Column, href: Column) -> Column:
     """Absolute URL of `href` found on the page at `base`."""
-    return F.when(base == "", href).when(href == "", base).otherwise(
-        resolve_parts(base_parts(base), reference_parts(href))
-    )
+    split = F.struct(base_parts(base).alias("base"), reference_parts(href).alias("ref"))
+    absolute = let(split, lambda x: resolve_parts(x["base"], x["ref"]))
+    return F.when(base == "", href).when(href == "", base).otherwise(absolute)
 
 
 def normalize(base: Column, href: Column) -> Column:
     """Resolve, drop the fragment, drop trailing slashes."""
-    return strip_slash(defrag(resolve(base, href)))
+    return let(resolve(base, href), lambda url: strip_slash(defrag(url)))
 
 
 # --- percent-encoding ------------------------------------------------------------
@@ -216,5 +218,4 @@ def drop_empty_parts(url: Column) -> Column:
 def robots_path(url: Column) -> Column:
     """Decoded ``path?query#fragment`` that robots rules are matched against."""
     local = F.regexp_replace(clean(unquote(url)), _HEAD + r"(?://[^/?#]*)?", "")
-    bare = drop_empty_parts(local)
-    return F.when(bare == "", "/").otherwise(bare)
+    return F.coalesce(F.nullif(drop_empty_parts(local), F.lit("")), F.lit("/"))

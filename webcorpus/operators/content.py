@@ -92,18 +92,19 @@ def without_templates(pages: DataFrame, templates: DataFrame, **join) -> DataFra
 
 def with_metadata(pages: DataFrame) -> DataFrame:
     """Adds title, language, author and date."""
-    markup = F.col("__markup")
+    markup, found, tags = F.col("__markup"), F.col("__texts"), F.col("__metas")
     return (
         pages.withColumn("__markup", html.without_raw_text(F.col("html")))
+        .withColumns({"__texts": html.texts(markup), "__metas": html.metas(markup)})
         .withColumns(
             {
-                "title": html.title(markup),
-                "language": html.language(markup),
-                "author": html.author(markup),
-                "date": html.date(markup),
+                "title": html.title(found),
+                "language": html.language(found, tags),
+                "author": html.author(tags),
+                "date": html.date(found, tags),
             }
         )
-        .drop("__markup")
+        .drop("__markup", "__texts", "__metas")
     )
 
 

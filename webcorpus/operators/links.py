@@ -51,16 +51,10 @@ def with_normalized(pages: DataFrame, column: str = "links") -> DataFrame:
 
 
 def _in_allowed_language(found: Column, options: CrawlOptions) -> Column:
-    hosts = F.transform(
-        found, lambda url: F.struct(url.alias("url"), urls.host(url).alias("host"))
+    return F.filter(
+        found,
+        lambda url: language.keep_language(language.predict_language(url), options.languages()),
     )
-    kept = F.filter(
-        hosts,
-        lambda link: language.keep_language(
-            language.predict_for_host(link["url"], link["host"]), options.languages()
-        ),
-    )
-    return F.transform(kept, lambda link: link["url"])
 
 
 def with_links(pages: DataFrame, options: CrawlOptions, by_language: bool = False) -> DataFrame:

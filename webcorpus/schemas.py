@@ -3,8 +3,18 @@
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "string": T.StringType(),
+    "timestamp": T.TimestampType(),
+}
+
+
+def _schema(fields: str) -> T.StructType:
+    # StructType.fromDDL would need a running session at import time
+    pairs = (field.split() for field in fields.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 #: Fetched pages as they are stored: one row per URL.
@@ -39,3 +49,13 @@ LINKS = _schema("url string, priority int, depth int, parent_url string")
 STATUS_EVENTS = _schema(
     "task_id bigint, status string, error_message string, ts timestamp, seq bigint"
 )
+
+#: Admitted links as pending frontier rows; the URL identifies them.
+ADMITTED = _schema(
+    "url string, priority int, domain string, status string, depth int, parent_url string"
+)
+#: Content as it is stored.
+PAYLOAD = _schema(
+    "id bigint, url string, title string, content string, language string, "
+    "author string, date string"
+)

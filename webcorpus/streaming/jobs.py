@@ -10,21 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from webcorpus import schemas
 from webcorpus.config import CrawlOptions
-from webcorpus.operators import frontier, language
+from webcorpus.operators import frontier, language, outcomes
 from webcorpus.plans.crawl import crawl_batch
 from webcorpus.sources import sinks
 
-ADMITTED = T.StructType.fromDDL(
-    "url string, priority int, domain string, status string, depth int, parent_url string"
-)
-PAYLOAD = T.StructType.fromDDL(
-    "id bigint, url string, title string, content string, language string, "
-    "author string, date string"
-)
-LATEST = T.StructType.fromDDL(
-    "task_id bigint, status string, error_message string, ts timestamp, seq bigint"
-)
-
 
 def _start(stream: DataFrame, step, checkpoint: str, mode: str, poll: str | None) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(step).outputMode(mode)
@@ -61,12 +50,12 @@ def stream_crawl(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         result = crawl_batch(tasks, rules, batch, options, templates)
-        before = _written_before(spark, f"{out}/links", ADMITTED, batch_id)
+        before = _written_before(spark, f"{out}/links", schemas.ADMITTED, batch_id)
         seen = known.select("url").union(before.select("url"))
         admitted = frontier.admit_links(result.links, seen)
         status = result.status
         if batch_id > 0:
-            refused = F.col("error_message").eqNullSafe("Disallowed by robots.txt")
+            refused = F.col("error_message").eqNullSafe(outcomes.DISALLOWED)
             again = result.outcomes.where(refused).select(F.col("id").alias("task_id"))
             status = status.join(again, "task_id", "left_anti")
         sinks.sink_links(frontier.to_frontier(admitted, options), f"{out}/links", batch_id)
@@ -82,7 +71,7 @@ def stream_admit_links(
     """Exact de-duplication across batches against the stored frontier in `out`."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = _written_before(batch.sparkSession, f"{out}/links", ADMITTED, batch_id)
+        before = _written_before(batch.sparkSession, f"{out}/links", schemas.ADMITTED, batch_id)
         seen = known.select("url").union(before.select("url"))
         admitted = frontier.admit_links(batch, seen)
         sinks.sink_links(frontier.to_frontier(admitted, options), f"{out}/links", batch_id)
