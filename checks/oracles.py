@@ -94,6 +94,37 @@ def _text_of(blocks: str) -> str:
     return f"array_to_string({blocks}, chr(10))"
 
 
+def _content_tables(name: str, source: str) -> dict[str, str]:
+    """Blocks, site templates and main texts of the pages in `source`."""
+    blocks, templates, kept, texts = (
+        f"{name}_{kind}" for kind in ("blocks", "templates", "kept", "texts")
+    )
+    return {
+        blocks: f"""
+            select page_id, url, {_HOST} as host,
+              case when len(main) > 0 then main else shown end as blocks
+            from (select page_id, url, {_blocks(f"regexp_replace(html, {_MAIN}, '', 'g')")} as main,
+              {_blocks(f"regexp_replace(html, {_VISIBLE}, '', 'g')")} as shown from {{{source}}})""",
+        templates: f"""
+            select b.host, b.block from (
+              select host, block, count(distinct page_id) as n
+              from (select host, page_id, unnest(blocks) as block from {{{blocks}}}) group by host, block
+            ) b join (select host, count(*) as n from {{{blocks}}} group by host) h on b.host = h.host
+            where b.n >= 3 and b.n >= h.n * 0.5""",
+        kept: f"""
+            select page_id, block, position from (
+              select host, page_id, unnest(blocks) as block, generate_subscripts(blocks, 1) as position
+              from {{{blocks}}}) b
+            where not exists (
+              select 1 from {{{templates}}} t where t.host = b.host and t.block = b.block)""",
+        texts: f"""
+            select p.page_id, p.url, coalesce(k.text, {_text_of('p.blocks')}) as text
+            from {{{blocks}}} p left join (
+              select page_id, string_agg(block, chr(10) order by position) as text
+              from {{{kept}}} group by page_id) k on k.page_id = p.page_id""",
+    }
+
+
 LIBRARY: dict[str, str] = {
     # --- links ---
     "bases": f"""
@@ -213,26 +244,8 @@ LIBRARY: dict[str, str] = {
             and starts_with(t.local, r.path)
         group by t.id""",
     # --- content ---
-    "page_blocks": f"""
-        select page_id, url, {_HOST} as host, case when len(main) > 0 then main else shown end as blocks
-        from (select page_id, url, {_blocks(f"regexp_replace(html, {_MAIN}, '', 'g')")} as main,
-          {_blocks(f"regexp_replace(html, {_VISIBLE}, '', 'g')")} as shown from {{pages}})""",
-    "templates": """
-        select b.host, b.block from (
-          select host, block, count(distinct page_id) as n
-          from (select host, page_id, unnest(blocks) as block from {page_blocks}) group by host, block
-        ) b join (select host, count(*) as n from {page_blocks} group by host) h on b.host = h.host
-        where b.n >= 3 and b.n >= h.n * 0.5""",
-    "kept_blocks": """
-        select page_id, block, position from (
-          select host, page_id, unnest(blocks) as block, generate_subscripts(blocks, 1) as position
-          from {page_blocks}) b
-        where not exists (select 1 from {templates} t where t.host = b.host and t.block = b.block)""",
-    "main_texts": f"""
-        select p.page_id, p.url, coalesce(k.text, {_text_of('p.blocks')}) as text
-        from {{page_blocks}} p left join (
-          select page_id, string_agg(block, chr(10) order by position) as text
-          from {{kept_blocks}} group by page_id) k on k.page_id = p.page_id""",
+    **_content_tables("page", "pages"),
+    **_content_tables("meta", "meta_x"),
     "titles": f"""
         select page_id, nullif(trim(regexp_replace({_decode("regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")},
           '\\s+', ' ', 'g')), '') as title from {{pages}}""",
@@ -243,7 +256,7 @@ LIBRARY: dict[str, str] = {
         from {meta_x}""",
     "contents": """
         select t.page_id, t.url, t.text, i.title, m.language, m.author, m.date
-        from {main_texts} t join {titles} i on i.page_id = t.page_id
+        from {meta_texts} t join {titles} i on i.page_id = t.page_id
           join {meta_values} m on m.page_id = t.page_id
         where length(t.text) >= 50""",
     # --- a crawl batch ---
@@ -353,8 +366,8 @@ ORACLES: dict[str, str] = {
         select page_id, unnest(blocks) as block, cast(generate_subscripts(blocks, 1) - 1 as int) as pos
         from {page_blocks}""",
     "html_unescape": f"select page_id, {_decode('html')} as html from {{pages}}",
-    "html_template_blocks": "select host, md5(block) as block_md5 from {templates}",
-    "html_main_text": "select page_id, text from {main_texts}",
+    "html_template_blocks": "select host, md5(block) as block_md5 from {page_templates}",
+    "html_main_text": "select page_id, text from {page_texts}",
     "html_title": "select page_id, title from {titles}",
     "html_language": "select page_id, language from {meta_values}",
     "html_author": "select page_id, author from {meta_values}",
