@@ -90,6 +90,15 @@ def _blocks(html: str) -> str:
     )
 
 
+def _full_length(text: str, title: str, author: str, url: str, date: str) -> str:
+    """Length of a text with its metadata lines."""
+    host = f"lower(split_part(split_part({url}, '/', 3), ':', 1))"
+    return (
+        f"length(concat_ws(chr(10), '---', 'title: ' || {title}, 'author: ' || {author}, "
+        f"'url: ' || {url}, 'hostname: ' || {host}, 'date: ' || {date}, '---', {text}))"
+    )
+
+
 def _text_of(blocks: str) -> str:
     return f"array_to_string({blocks}, chr(10))"
 
@@ -254,11 +263,11 @@ LIBRARY: dict[str, str] = {
           case when page_id % 3 = 0 then 'A. Writer & Co' end as author,
           case page_id % 3 when 0 then '2024-03-05' when 2 then '2023-11-30' end as date
         from {meta_x}""",
-    "contents": """
+    "contents": f"""
         select t.page_id, t.url, t.text, i.title, m.language, m.author, m.date
-        from {meta_texts} t join {titles} i on i.page_id = t.page_id
-          join {meta_values} m on m.page_id = t.page_id
-        where length(t.text) >= 50""",
+        from {{meta_texts}} t join {{titles}} i on i.page_id = t.page_id
+          join {{meta_values}} m on m.page_id = t.page_id
+        where t.text <> '' and {_full_length('t.text', 'i.title', 'm.author', 't.url', 'm.date')} >= 50""",
     # --- a crawl batch ---
     "batch": f"""
         select d.id, d.url, case when message is null then 'completed' else 'failed' end as status,
@@ -271,10 +280,12 @@ LIBRARY: dict[str, str] = {
               when f.http_status not between 200 and 299 then 'HTTP ' || f.http_status
               when not contains(lower(coalesce(f.content_type, '')), 'text/html')
                 then 'Not HTML: ' || coalesce(f.content_type, '')
-              when trim(f.html) = '' or length({_text_of('b.blocks')}) < 50 then 'Content extraction failed'
+              when trim(f.html) = '' or len(b.blocks) = 0
+                or {_full_length(_text_of('b.blocks'), 'n.title', 'null', 'd.url', 'null')} < 50
+                then 'Content extraction failed'
             end as message
           from {{decided}} d join {{fetches_x}} f on f.url = d.url
-            join {{page_blocks}} b on b.page_id = d.id) d
+            join {{page_blocks}} b on b.page_id = d.id join {{titles}} n on n.page_id = d.id) d
         join (select page_id, {_text_of('blocks')} as text from {{page_blocks}}) f on f.page_id = d.id
         join {{titles}} i on i.page_id = d.id join {{pages}} p on p.page_id = d.id""",
     "batch_links": f"""
@@ -372,7 +383,9 @@ ORACLES: dict[str, str] = {
     "html_language": "select page_id, language from {meta_values}",
     "html_author": "select page_id, author from {meta_values}",
     "html_date": "select page_id, date from {meta_values}",
-    "content_min_length": f"select page_id, length({_text_of('blocks')}) >= 1000 as long_enough from {{page_blocks}}",
+    "content_min_length": f"""
+        select b.page_id, {_full_length(_text_of('b.blocks'), 't.title', 'null', 'b.url', 'null')} >= 1000 as long_enough
+        from {{page_blocks}} b join {{titles}} t on t.page_id = b.page_id""",
     "extract_content": "select page_id, url, title, text, language, author, date from {contents}",
     "links_gate_score": "select page_id, parent_score from {scored_x} where parent_score >= 60",
     "links_gate_depth": "select page_id, depth from {scored_x} where depth < 3",

@@ -137,13 +137,19 @@ def strip_tags(markup: Column) -> Column:
     return F.regexp_replace(markup, rf"<[a-zA-Z/!?]{_IN_TAG}>", "")
 
 
+def _cells(row: Column) -> Column:
+    """Cells of a table row parted by bars; the tags of a cell need not be closed."""
+    first = F.regexp_replace(row, rf"(?i)^\s*<t[dh]{_OPEN}", "")
+    return F.regexp_replace(first, rf"(?i)(?:</t[dh]\s*>\s*)?<t[dh]{_OPEN}", " | ")
+
+
 def blocks(markup: Column) -> Column:
     """Ordered text blocks of visible markup; the cells of a table row share a block."""
     body = _without(markup, ("title",))
-    rows = F.regexp_replace(body, rf"(?i)</t[dh]\s*>\s*<t[dh]{_OPEN}", " | ")
-    pieces = F.split(rows, rf"(?i)</?(?:{_BLOCK_TAGS})(?=[\s/>]){_IN_TAG}>", -1)
-    texts = F.transform(pieces, lambda piece: squeeze(unescape(strip_tags(piece))))
-    return F.filter(texts, lambda text: text != "")
+    pieces = F.split(body, rf"(?i)</?(?:{_BLOCK_TAGS})(?=[\s/>]){_IN_TAG}>", -1)
+    texts = F.transform(pieces, lambda piece: squeeze(unescape(strip_tags(_cells(piece)))))
+    # bars alone are empty cells
+    return F.filter(texts, lambda text: ~text.rlike(r"^[|\s]*$"))
 
 
 # --- metadata ---------------------------------------------------------------------

@@ -108,11 +108,17 @@ def with_metadata(pages: DataFrame) -> DataFrame:
     )
 
 
-def _header() -> Column:
-    fields = [("title", "title"), ("author", "author"), ("url", "url"), ("date", "date")]
-    return F.concat_ws(
-        "\n", *[F.concat(F.lit(f"{name}: "), F.col(column)) for name, column in fields]
-    )
+def _with_header(text: Column) -> Column:
+    """The text below a block of metadata lines."""
+    fields = {
+        "title": F.col("title"),
+        "author": F.col("author"),
+        "url": F.col("url"),
+        "hostname": urls.host(F.col("url")),
+        "date": F.col("date"),
+    }
+    lines = [F.concat(F.lit(f"{name}: "), value) for name, value in fields.items()]
+    return F.concat_ws("\n", F.lit("---"), *lines, F.lit("---"), text)
 
 
 def with_content(
@@ -125,15 +131,14 @@ def with_content(
     read = with_metadata(with_blocks(pages)).select(*rest, *fields)
     if templates is not None:
         read = without_templates(read, templates, **join)
-    text = F.array_join("blocks", "\n")
-    if options.metadata_header:
-        text = F.when(text != "", F.concat_ws("\n", _header(), text)).otherwise(text)
-    read = read.withColumn("__text", text)
-    return read.select(
-        *rest,
-        F.when(F.length("__text") >= options.min_content_chars, F.col("__text")).alias("text"),
-        *fields[:-1],
+    bare = F.array_join("blocks", "\n")
+    # the minimum applies to the text with its metadata lines, shown or not
+    read = read.withColumn("__text", F.when(bare != "", bare)).withColumn(
+        "__full", _with_header(F.col("__text"))
     )
+    shown = F.col("__full" if options.metadata_header else "__text")
+    enough = F.col("__text").isNotNull() & (F.length("__full") >= options.min_content_chars)
+    return read.select(*rest, F.when(enough, shown).alias("text"), *fields[:-1])
 
 
 def extract_content(
