@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from webcorpus.functions.binding import lookup
 
-_OPEN = r"(?:[\s/][^>]*)?>"
-# inside of a tag: quoted values may hold ">"
-_IN_TAG = r"""(?:[^"'>]++|"[^"]*+"|'[^']*+'|["'])*+"""
-_VALUE = r"""("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
-# whole attributes, up to the one whose name follows
+_OPEN = r"(?:[\s/][^<>]*)?>"
+# Inside of a tag. Quoted values may hold any bracket; outside of quotes "<" ends the
+# attempt, so that text full of unfinished tags is not scanned once per tag.
+_IN_TAG = r"""(?:[^"'<>]++|"[^"]*+"|'[^']*+'|["'])*+"""
+_VALUE = r"""("[^"]*+"|'[^']*+'|[^\s"'<>][^\s<>]*+)"""
+# whole attributes, up to the wanted one
 _SKIP_ATTRIBUTES = (
-    r"""(?:[\s/"'=]++|(?!{name}[\s=/>])[^\s"'>/=]++"""
-    r"""(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+)*+"""
+    r"""(?:[\s/"'=]++|(?!{wanted})[^\s"'<>/=]++"""
+    r"""(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>][^\s<>]*+))?+)*+"""
 )
 # any run of white space but a lone blank
 _BLANKS = r"[\t\n\x0B\f\r\u00a0][\s\u00a0]*+| [\s\u00a0]++"
@@ -37,10 +38,16 @@ _BLOCK_TAGS = (
     "fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|legend|li|main|menu|nav|"
     "ol|option|p|pre|section|select|summary|table|tbody|tfoot|thead|title|tr|ul"
 )
+_COMMENT_NAME = "(?:comments?|comment-?list|disqus_thread)"
+_COMMENT_ATTRIBUTE = (
+    r"(?:class|id)\s*+=\s*+(?:"
+    rf"""["'](?:[^"'<>]*[\s_-])?{_COMMENT_NAME}(?:[\s_-][^"'<>]*)?["']"""
+    rf"""|(?:[^\s"'<>]*[_-])?{_COMMENT_NAME}(?:[_-][^\s"'<>]*)?(?=[\s>]))"""
+)
 _COMMENT_AREA = (
-    r"""(?:section|div|ul|ol)\s(?:[^>]*?[\s"'])?(?:class|id)\s*=\s*["']?"""
-    r"""(?:[^"'>]*[\s_-])?(?:comments?|comment-?list|disqus_thread)(?:[\s"'_-][^>]*)?>"""
-    r".*?(?:</(?:section|div|ul|ol)\s*>|\z)"
+    r"(?:section|div|ul|ol)(?=[\s/])"
+    + _SKIP_ATTRIBUTES.replace("{wanted}", _COMMENT_ATTRIBUTE)
+    + rf"{_COMMENT_ATTRIBUTE}{_IN_TAG}>.*?(?:</(?:section|div|ul|ol)\s*>|\z)"
 )
 
 
@@ -163,7 +170,7 @@ def unquoted(value: Column) -> Column:
 
 def attribute_pattern(tag: str, name: str) -> str:
     """Pattern whose group 1 is the (quoted) value of the tag's first such attribute."""
-    skip = _SKIP_ATTRIBUTES.replace("{name}", name)
+    skip = _SKIP_ATTRIBUTES.replace("{wanted}", rf"{name}[\s=/>]")
     return rf"(?is)<{tag}(?=[\s/]){skip}{name}\s*+=\s*+{_VALUE}"
 
 
@@ -181,7 +188,7 @@ def texts(markup: Column) -> Column:
     """The title element, the html element's lang, the first time element's datetime,
     then every h1, as text ('' if there is none)."""
     found = F.array(
-        F.regexp_extract(markup, rf"(?is)<title{_OPEN}(.*?)</title\s*>", 1),
+        F.regexp_extract(markup, rf"(?is)<title{_OPEN}(.*?)(?:</title\s*>|\z)", 1),
         attribute(markup, "html", "lang"),
         attribute(markup, "time", "datetime"),
     )
