@@ -118,11 +118,12 @@ def url_host(spark, sf_dir):
 
 def _anchors(spark, sf_dir) -> DataFrame:
     """Every anchor with its page: `(page_id, base, position, href)`."""
-    return table(spark, sf_dir, "anchors_x").select(
+    anchors = table(spark, sf_dir, "anchors_x").select(
         "page_id",
         _url().alias("base"),
-        F.posexplode(html.hrefs(F.col("html"))).alias("position", "href"),
+        F.posexplode_outer(html.hrefs(F.col("html"))).alias("position", "href"),
     )
+    return anchors.where(F.col("href").isNotNull())
 
 
 @query
@@ -417,9 +418,14 @@ def links_skip_blank(spark, sf_dir):
     return _anchors(spark, sf_dir).where(F.col("href").rlike(r"\S")).select("page_id", "href")
 
 
+def _rows(pages: DataFrame) -> DataFrame:
+    rows = pages.select("page_id", F.posexplode_outer("links").alias("position", "url"))
+    return rows.where(F.col("url").isNotNull())
+
+
 def _normalized(spark, sf_dir) -> DataFrame:
     pages = links.with_normalized(table(spark, sf_dir, "anchors_x"))
-    return pages.select("page_id", F.posexplode("links").alias("position", "url"))
+    return _rows(pages)
 
 
 @query
@@ -471,7 +477,7 @@ def links_depth_parent(spark, sf_dir):
 @query
 def links_dedupe(spark, sf_dir):
     pages = links.with_links(table(spark, sf_dir, "anchors_x"), OPTIONS)
-    return pages.select("page_id", F.posexplode("links").alias("position", "url"))
+    return _rows(pages)
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,3 +21,13 @@ def lookup(table: dict[str, str], key: Column) -> Column:
     """Value of a fixed table, NULL for another key. The table is one literal."""
     text = "\n".join(f"{k}={v}" for k, v in table.items())
     return F.try_element_at(F.str_to_map(F.lit(text), F.lit("\n"), F.lit("=")), key)
+
+
+def computed_once(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows, with the given columns evaluated here and nowhere else.
+
+    The optimizer moves a later filter on a computed column below its projection and
+    evaluates the expression twice. It does not move it below a generator.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline_outer(F.array(F.struct(*columns)))).select(*df.columns)

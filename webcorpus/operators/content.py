@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.config import CrawlOptions
 from webcorpus.functions import html, urls
+from webcorpus.functions.binding import computed_once
 from webcorpus.plans.skew import lookup_join
 from webcorpus.plans.storage import stage
 
@@ -33,7 +34,8 @@ def with_blocks(pages: DataFrame) -> DataFrame:
 
 def explode_blocks(pages: DataFrame, *keys: str) -> DataFrame:
     """One row per block, in page order."""
-    return with_blocks(pages).select(*keys, F.posexplode("blocks").alias("pos", "block"))
+    rows = with_blocks(pages).select(*keys, F.posexplode_outer("blocks").alias("pos", "block"))
+    return rows.where(F.col("block").isNotNull())
 
 
 def block_key(block: Column) -> Column:
@@ -49,12 +51,13 @@ def site_templates(pages: DataFrame, options: CrawlOptions, **join) -> DataFrame
     (blocks per page / share) of them.
     """
     keys = F.array_distinct(F.transform("blocks", block_key))
+    none = F.array().cast("array<binary>")
     # every page also emits an empty key: its count is the page count of the host
     counted = (
         with_blocks(pages.select("url", "html"))
         .select(
             urls.host(F.col("url")).alias("host"),
-            F.explode(F.concat(F.array(F.lit(_PAGE_MARK)), F.coalesce(keys, F.array().cast("array<binary>")))).alias("key"),
+            F.explode_outer(F.concat(F.array(F.lit(_PAGE_MARK)), F.coalesce(keys, none))).alias("key"),
         )
         .groupBy("host", "key")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -146,4 +149,5 @@ def extract_content(
 ) -> DataFrame:
     """Content rows of all pages that have content."""
     usable = pages.where(~html.is_blank(F.col("html")))
-    return with_content(usable, options, templates, **join).where(F.col("text").isNotNull())
+    read = with_content(usable, options, templates, **join)
+    return computed_once(read, "text").where(F.col("text").isNotNull())

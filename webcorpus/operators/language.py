@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.config import CrawlOptions
 from webcorpus.functions import language
+from webcorpus.functions.binding import computed_once
 
 
 def with_language(table: DataFrame, column: str = "lang") -> DataFrame:
@@ -18,4 +19,4 @@ def filter_language(table: DataFrame, options: CrawlOptions, column: str = "lang
     """Drops URLs predicted to be in another than the allowed languages."""
     if not options.filter_by_language:
         return table
-    return table.where(language.keep_language(F.col(column), options.languages()))
+    return computed_once(table, column).where(language.keep_language(F.col(column), options.languages()))

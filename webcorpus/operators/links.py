@@ -68,13 +68,16 @@ def with_links(pages: DataFrame, options: CrawlOptions, by_language: bool = Fals
 def explode_links(pages: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per link. `position` counts the final links of the page from 0."""
     score = F.coalesce(F.col("parent_score"), F.lit(0))
-    return pages.select(
+    # for the plain posexplode the optimizer adds a filter on the size of the array,
+    # which finds all links a second time
+    rows = pages.select(
         *keys,
-        F.posexplode("links").alias("position", "url"),
+        F.posexplode_outer("links").alias("position", "url"),
         linkrules.priority(score).alias("priority"),
         (F.coalesce(F.col("depth"), F.lit(0)) + 1).cast("int").alias("depth"),
         F.col("url").alias("parent_url"),
     )
+    return rows.where(F.col("url").isNotNull())
 
 
 def discover_links(

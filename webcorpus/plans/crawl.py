@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.config import CrawlOptions
 from webcorpus.functions import html
+from webcorpus.functions.binding import computed_once
 from webcorpus.operators import content, frontier, links, outcomes, robots
 from webcorpus.plans.skew import lookup_join
 from webcorpus.plans.storage import stage
@@ -66,10 +67,9 @@ def _processed(
         read = read.withColumn("links", F.slice("links", 1, options.links_per_page))
     else:
         read = read.withColumn("links", F.array().cast("array<string>"))
+    read = content.with_content(read, options, templates, **join)
     done = outcomes.with_outcome(
-        content.with_content(read, options, templates, **join),
-        F.lit(True),
-        F.col("text").isNotNull(),
+        computed_once(read, "text", "links"), F.lit(True), F.col("text").isNotNull()
     )
     fields = ["title", "text", "language", "author", "date"]
     finished = done.select(
