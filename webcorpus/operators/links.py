@@ -20,11 +20,9 @@ def depth_gate(pages: DataFrame, options: CrawlOptions) -> DataFrame:
 
 
 def follows_links(options: CrawlOptions) -> Column:
-    """Both gates and the blank guard as one condition."""
-    return (
-        (F.coalesce(F.col("parent_score"), F.lit(0)) >= options.min_parent_score)
-        & (F.coalesce(F.col("depth"), F.lit(0)) < options.max_depth)
-        & ~html.is_blank(F.col("html"))
+    """Both gates as one condition."""
+    return (F.coalesce(F.col("parent_score"), F.lit(0)) >= options.min_parent_score) & (
+        F.coalesce(F.col("depth"), F.lit(0)) < options.max_depth
     )
 
 
@@ -84,7 +82,8 @@ def discover_links(
     pages: DataFrame, options: CrawlOptions, keys: tuple[str, ...] = ()
 ) -> DataFrame:
     """Links of the pages `(url, html, parent_score, depth)`, cheap gates first."""
-    return explode_links(with_links(pages.where(follows_links(options)), options), keys)
+    worth = pages.where(follows_links(options) & ~html.is_blank(F.col("html")))
+    return explode_links(with_links(worth, options), keys)
 
 
 def cap_links(links: DataFrame, limit: int) -> DataFrame:

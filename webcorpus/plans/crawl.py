@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.config import CrawlOptions
 from webcorpus.functions import html
 from webcorpus.functions.binding import computed_once
 from webcorpus.operators import content, frontier, links, outcomes, robots
-from webcorpus.plans.skew import lookup_join
+from webcorpus.plans import skew
 from webcorpus.plans.storage import stage
 
 
@@ -25,60 +25,76 @@ class CrawlBatch:
     status: DataFrame
 
 
-def _processed(
-    tasks: DataFrame,
-    rules: DataFrame,
-    fetches: DataFrame,
+_TASK = ["id", "url", "depth", "parent_score"]
+_FETCH = ["url", "http_status", "content_type", "error_kind", "error"]
+_CONTENT = ["title", "text", "language", "author", "date"]
+
+
+def _read_pages(
+    pages: DataFrame,
     options: CrawlOptions,
     templates: DataFrame | None,
     join: dict,
+    link_gate: Column,
 ) -> DataFrame:
-    """One row per task with an outcome: its state, content and links.
-
-    Robots rules are applied to the narrow task table, so a page that may not be used is
-    never read. The fetches are then met by the allowed tasks; while those are small
-    enough to broadcast, html is not shuffled at all.
-    """
-    wanted = ["id", "url", "depth", "parent_score"]
-    gated = robots.robots_gate(tasks.select(*wanted), rules, options, ["id"], **join)
-    allowed = gated.where("allowed").drop("allowed", "delay")
-    page_columns = ["url", "http_status", "content_type", "html", "error_kind", "error"]
-    pages = lookup_join(
-        outcomes.size_guard(fetches.select(*page_columns), options.max_content_length),
-        allowed,
-        "url",
-        ["html"],
-        "inner",
-        **join,
-    )
+    """Replaces html by content and `links`; links only where `link_gate` holds."""
     # what is not a usable page carries no html from here on
     usable = outcomes.is_usable() & ~html.is_blank(F.col("html"))
     read = pages.withColumn("html", F.when(usable, F.col("html")))
     if options.extract_links:
-        gate = links.follows_links(options)
-        linked = links.with_links(
+        read = links.with_links(
             read.withColumn("__html", F.col("html")).withColumn(
-                "html", F.when(gate, F.col("html"))
+                "html", F.when(link_gate, F.col("html"))
             ),
             options,
             by_language=options.filter_by_language,
         )
-        read = linked.withColumn("html", F.col("__html")).drop("__html")
+        read = read.withColumn("html", F.col("__html")).drop("__html")
         read = read.withColumn("links", F.slice("links", 1, options.links_per_page))
     else:
         read = read.withColumn("links", F.array().cast("array<string>"))
-    read = content.with_content(read, options, templates, **join)
-    done = outcomes.with_outcome(
-        computed_once(read, "text", "links"), F.lit(True), F.col("text").isNotNull()
-    )
-    fields = ["title", "text", "language", "author", "date"]
+    return computed_once(content.with_content(read, options, templates, **join), "text", "links")
+
+
+def _processed(
+    tasks: DataFrame,
+    rules: DataFrame,
+    fetches: DataFrame,
+    options: CrawlOptions,
+    templates: DataFrame | None,
+    staged: bool,
+    join: dict,
+) -> DataFrame:
+    """One row per task with an outcome: its state, content and links.
+
+    Robots rules are applied to the narrow task table. Html is never shuffled: allowed
+    tasks that measure small are broadcast to the fetches, so only their pages are read
+    through; otherwise all pages are read next to the scan and what was found in them is
+    shuffled by URL.
+    """
+    gated = robots.robots_gate(tasks.select(*_TASK), rules, options, ["id"], **join)
+    if staged:
+        gated = stage(gated, "gated-tasks")
+    allowed = gated.where("allowed").select(*_TASK)
+    pages = outcomes.size_guard(fetches.select(*_FETCH, "html"), options.max_content_length)
+    gate = links.follows_links(options)
+    limit = join.get("broadcast_bytes", skew.BROADCAST_BYTES)
+    if skew.measured_bytes(allowed) <= limit:
+        met = pages.join(F.broadcast(allowed), "url")
+        read = _read_pages(met, options, templates, join, gate)
+    else:
+        found = _read_pages(pages, options, templates, join, F.lit(True))
+        hot_rows = join.get("hot_rows", skew.HOT_ROWS)
+        read = skew.salted_join(found, allowed, "url", ["title", "text"], "inner", hot_rows)
+        read = read.withColumn("links", F.when(gate, F.col("links")))
+    done = outcomes.with_outcome(read, F.lit(True), F.col("text").isNotNull())
     finished = done.select(
-        *wanted, "status", "error_message", *fields,
+        *_TASK, "status", "error_message", *_CONTENT,
         # links count only where content was found
         F.when(F.col("status") == "completed", F.col("links")).alias("links"),
     )
     refused = gated.where(~F.col("allowed")).select(
-        *wanted,
+        *_TASK,
         F.lit("failed").alias("status"),
         F.lit(outcomes.DISALLOWED).alias("error_message"),
     )
@@ -100,7 +116,7 @@ def crawl_batch(
     `operators.robots.rules_for_agent`, `fetches` has one row per URL. With `staged` the
     processed table is written once, and every result reads only its own columns.
     """
-    done = _processed(tasks, rules, fetches, options, templates, join)
+    done = _processed(tasks, rules, fetches, options, templates, staged, join)
     if staged:
         done = stage(done, "crawl-batch")
     completed = done.where(F.col("status") == "completed")
