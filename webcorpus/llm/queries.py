@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from webcorpus.llm import bpe, chat
+from webcorpus.llm import bpe, chat, decontaminate, topk
 
 QUERIES = {
+    "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_topk": topk.op5_topk,
     "op8_bpe": bpe.op8_bpe,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
 ORACLES = {
+    "op5_topk": topk.OP5_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
 }
