@@ -1,0 +1,73 @@
+import hashlib
+import random
+
+import pytest
+
+from webcorpus.llm import substrings, words
+
+
+def brute(docs, window=20):
+    """docs in any order; equal places are one place."""
+    last = (1 << 63) - 1
+    texts = [(last if d is None else d, (t or "").encode().split()) for d, t in docs]
+    first = {}
+    for doc, w in texts:
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            first[key] = min(first.get(key, (last + 1, 0)), (doc, i))
+    out = []
+    for (name, _), (doc, w) in zip(docs, texts, strict=True):
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < (doc, i):
+                gone.update(range(i, i + window))
+        kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((name, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def made(seed):
+    rng = random.Random(seed)
+    text = lambda n: rng.choice([" ", "\n", " \t"]).join(rng.choice(["a", "B", "é", "cc"]) for _ in range(n))
+    long = lambda n: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))
+    passages = [long(n) for n in (19, 20, 21, 40, 70)]
+    docs = [(i, " ".join(rng.choice([long(rng.randint(0, 30)), rng.choice(passages)]) for _ in range(rng.randint(0, 6)))) for i in range(60)]
+    docs += [(100 + i, text(rng.randint(0, 60))) for i in range(30)] + [(200, passages[4] * 3), (201, "same " * 90), (202, None), (203, ""), (None, passages[3])]
+    docs += [docs[5], docs[6], (7, passages[2] + " another text under a known id"), (300, docs[9][1]), (301, docs[9][1])]
+    rng.shuffle(docs)
+    return docs
+
+
+@pytest.mark.parametrize("seed, shard", [(1, 6 << 20), (2, 300)])
+def test_same_as_brute_force(spark, monkeypatch, seed, shard):
+    monkeypatch.setattr(substrings, "SHARD_BYTES", shard)
+    docs = made(seed)
+    df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, runs string").repartition(3)
+    got = substrings.without_repeats(df, ["doc_id", "runs"]).collect()
+    got = [(r.row.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got]
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(got, key=key) == sorted(brute(docs), key=key)
+
+
+def test_equal_windows_choose_equal_seeds():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 3, 400).astype(np.uint64)
+    place, least = substrings.seeds(values, 20, 8)
+    grams = words.run_hashes(values, 8)
+    for p in range(len(place)):
+        inside = grams[p : p + 13].tolist()
+        assert least[p] == min(inside) and place[p] == p + inside.index(min(inside))
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert substrings.without_repeats(df, ["doc_id"]).count() == 0
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted(tuple(r) for r in substrings.op6_substring_dedup(spark, folder).collect())
+    assert got == sorted(brute(docs)) and any(r[2] for r in got)

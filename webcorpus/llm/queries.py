@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from webcorpus.llm import bpe, chat, decontaminate, topk
+from webcorpus.llm import bpe, chat, decontaminate, substrings, topk
 
 QUERIES = {
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_topk": topk.op5_topk,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text that one step works on, unless a single text is longer.
 STEP_BYTES = 2 << 20
+#: Rows of a step.
+STEP_ROWS = 1 << 16
 #: Bytes whose prefix hashes are held at once.
 _BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -122,7 +124,8 @@ def split(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = SPACED
 def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a binary column into runs of rows: `(from row, to row, bytes, offsets from 0)`.
 
-    A run has at most `limit` bytes, or one row. NULL rows must have been replaced before.
+    A run has at most `limit` bytes and `STEP_ROWS` rows, or one row. NULL rows must have
+    been replaced before.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -132,7 +135,7 @@ def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int,
     data = np.frombuffer(data_buffer, dtype=np.uint8) if data_buffer else np.empty(0, np.uint8)
     i, n = 0, len(column)
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        j = max(i + 1, min(i + STEP_ROWS, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
         own = offsets[i : j + 1] - offsets[i]
         yield i, j, data[offsets[i] : offsets[j]], own
         i = j
