@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from webcorpus.llm import bpe, chat, decontaminate, substrings, topk
+from webcorpus.llm import bpe, chat, decontaminate, jaccard, substrings, topk
 
 QUERIES = {
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_topk": topk.op5_topk,
     "op6_substring_dedup": substrings.op6_substring_dedup,
