@@ -12,7 +12,9 @@ normalizer and the pattern of its words come from that file.
 from __future__ import annotations
 
 import json
+import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
@@ -67,6 +69,8 @@ class WordBpe:
         self._letters = byte_letters()
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocabulary | self._special).items()}
+        self._spaced = {i: t + " " for i, t in self.tokens.items()}
+        self._opening = os.path.commonprefix(list(self._special))
         self._specials = re.compile("(" + "|".join(map(re.escape, self._special)) + ")")
         library = Tokenizer.from_file(path)
         self._normal, self._parts = library.normalizer, library.pre_tokenizer
@@ -83,13 +87,11 @@ class WordBpe:
 
     def fragments(self, word: str) -> list[str]:
         """A word in byte letters, cut between letters that no token joins."""
-        out, start = [], 0
-        for i, pair in enumerate(pairwise(word), 1):
-            if pair not in self._joined:
-                out.append(word[start:i])
-                start = i
-        out.append(word[start:])
-        return out
+        joined = self._joined
+        cuts = [i for i, pair in enumerate(pairwise(word), 1) if pair not in joined]
+        if not cuts:
+            return [word]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
     def _merged(self, fragment: tuple[str, bool]) -> list[int]:
         """Ids of a fragment; the flag says whether it ends a word."""
@@ -110,34 +112,42 @@ class WordBpe:
                 order[i - 1] = ranks.get((parts[i - 1], parts[i]), none)
             if i < len(order):
                 order[i] = ranks.get((parts[i], parts[i + 1]), none)
-        return [self.vocabulary[p] for p in parts]
+        vocabulary = self.vocabulary
+        return [vocabulary[p] for p in parts]
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> tuple[bytes, str]:
+        """Packed ids of a word in byte letters, and their tokens with a space after each."""
         cut = self.fragments(word)
-        ids = [i for f in cut[:-1] for i in self._fragments[f, False]]
-        return ids + self._fragments[cut[-1], True]
+        if len(cut) == 1:
+            ids = self._merged((word, True))
+        else:
+            ids = [i for f in cut[:-1] for i in self._fragments[f, False]] + self._fragments[cut[-1], True]
+        return self._packed(ids)
+
+    def _packed(self, ids: list[int]) -> tuple[bytes, str]:
+        return struct.pack(f"<{len(ids)}I", *ids), "".join([self._spaced[i] for i in ids])
 
     def _pieces(self, text: str) -> list[str]:
         """Words of a text without special tokens, in byte letters."""
         if text.isascii():
+            found = self._ascii.findall(text.lower())
+            if text.isprintable():
+                return found
             letters = self._letters
-            return [
-                w if w.isalnum() else "".join(letters[ord(c)] for c in w)
-                for w in self._ascii.findall(text.lower())
-            ]
+            return ["".join([letters[ord(c)] for c in w]) for w in found]
         return [w for w, _ in self._parts.pre_tokenize_str(self._normal.normalize_str(text))]
 
     def _chunk(self, chunk: bytes) -> tuple[bytes, str]:
         """Ids and decoded tokens of what stands between white space."""
-        ids: list[int] = []
-        for part in self._specials.split(chunk.decode("utf-8", "replace")):
+        text, found = chunk.decode("utf-8", "replace"), []
+        for part in self._specials.split(text) if self._opening in text else (text,):
             if part in self._special:
-                ids.append(self._special[part])
+                found.append(self._packed([self._special[part]]))
             elif part:
-                for word in self._pieces(part):
-                    ids += self._words[word]
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        return packed, "".join(self.tokens[i] + " " for i in ids)
+                found += [self._words[w] for w in self._pieces(part)]
+        if len(found) == 1:
+            return found[0]
+        return b"".join([f[0] for f in found]), "".join([f[1] for f in found])
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
