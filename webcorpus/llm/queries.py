@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from webcorpus.llm import bpe, chat, decontaminate, jaccard, substrings, topk
+from webcorpus.llm import bpe, chat, decontaminate, jaccard, quality, revisits, substrings, topk
 
 QUERIES = {
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_topk": topk.op5_topk,
     "op6_substring_dedup": substrings.op6_substring_dedup,
+    "op7_revisits": revisits.op7_revisits,
     "op8_bpe": bpe.op8_bpe,
+    "op9_quality": quality.op9_quality,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
 ORACLES = {
     "op5_topk": topk.OP5_SQL,
+    "op7_revisits": revisits.OP7_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
 }
