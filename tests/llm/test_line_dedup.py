@@ -1,0 +1,133 @@
+import difflib
+import random
+
+import numpy as np
+import pytest
+
+from webcorpus.llm import line_dedup as ld
+
+
+def longest(pairs):
+    best = [1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):
+        best[k] = 1 + max((best[m] for m in range(k) if pairs[m][1] < j), default=0)
+    return max(best, default=0)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_patience_diff(seed):
+    rng = random.Random(seed)
+    a = [rng.randint(0, 30) for _ in range(rng.randint(0, 24))]
+    b = [x for x in a if rng.random() > 0.3] + [rng.randint(0, 30) for _ in range(rng.randint(0, 9))]
+    if seed % 3 == 0:
+        rng.shuffle(b)
+    got = ld.matched(a, b)
+    assert all(a[i] == b[j] for i, j in got)
+    assert all(i < k and j < m for (i, j), (k, m) in zip(got[:-1], got[1:], strict=True))
+    # what both ends share is matched, then the longest chain of lines that stand once
+    head = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    p, q = a[head:], b[head:]
+    tail = next((k for k, (x, y) in enumerate(zip(p[::-1], q[::-1], strict=False)) if x != y), min(len(p), len(q)))
+    p, q = p[: len(p) - tail], q[: len(q) - tail]
+    once = [(i, q.index(v)) for i, v in enumerate(p) if p.count(v) == 1 and q.count(v) == 1]
+    chain = ld._rising(once)
+    assert len(chain) == longest(once) and set(chain) <= set(once)
+    assert {(i + head, j + head) for i, j in chain} <= set(got) and {(k, k) for k in range(head)} <= set(got)
+
+
+def brute(docs, least=40):
+    """Every step on plain lists; returns (doc_id, n_lines, n_removed, kept) per row."""
+    last = (1 << 63) - 1
+    keyed = [((last if d is None else d, t or ""), t or "") for d, t in docs]
+    lines = {k: [x.strip(" \t\r\x0b\x0c") for x in t.split("\n") if x.strip(" \t\r\x0b\x0c")] for k, t in keyed}
+    tag = tags(t for _, t in keyed)
+    order = lambda k: (k[0], tag[k[1]])
+    have = {}
+    for k, own in lines.items():
+        for x in set(own):
+            have.setdefault(x, []).append(k)
+    out = []
+    for (doc, _), (k, text) in zip(docs, keyed, strict=True):
+        shared = [(len(have[x]), min(have[x], key=order)) for x in dict.fromkeys(lines[k]) if len(have[x]) > 1 and min(have[x], key=order) != k]
+        rare = [f for n, f in shared if n <= ld.RARE]
+        assert rare or not shared
+        gone = set()
+        for other in set(rare):
+            for i, n in ld.common_blocks(lines[k], [len(x.encode()) for x in lines[k]], lines[other], least):
+                gone.update(range(i, i + n))
+        kept, number = [], 0
+        for line in text.split("\n"):
+            full = bool(line.strip(" \t\r\x0b\x0c"))
+            if not (full and number in gone):
+                kept.append(line)
+            number += full
+        out.append((doc, number, len(gone), "\n".join(kept)))
+    return out
+
+
+def tags(texts):
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    df = SparkSession.getActiveSession().createDataFrame([(t,) for t in set(texts)], "t string")
+    return dict(map(tuple, df.select("t", F.xxhash64("t")).collect()))
+
+
+KEY = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+
+
+def test_same_as_brute_force(spark):
+    rng = random.Random(4)
+    line = lambda: " ".join(f"w{rng.randint(0, 400)}é" for _ in range(rng.randint(1, 9)))
+    blocks = [[line() for _ in range(rng.randint(1, 8))] for _ in range(12)]
+    docs = []
+    for i in range(90):
+        own = []
+        for _ in range(rng.randint(0, 4)):
+            own += rng.choice([[line()], [""], ["  "], rng.choice(blocks), ["The.", line() + "\r"]])
+        docs.append((i, "\n".join(own)))
+    docs += [(200, docs[4][1]), (201, docs[4][1]), docs[5], docs[5], (6, docs[7][1] + "\nmore of another text under a known id"), (300, None), (301, ""), (302, "\n\n \n"), (None, docs[8][1])]
+    rng.shuffle(docs)
+    df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, blocks string").repartition(4)
+    got = [(r.row.doc_id, r.n_lines, r.n_removed, r.kept) for r in ld.without_repeated_lines(df, ["doc_id", "blocks"]).collect()]
+    want = brute(docs)
+    assert sorted(got, key=KEY) == sorted(want, key=KEY)
+    assert any(r[2] for r in want)
+
+
+def test_common_lines_still_find_copies(spark, monkeypatch):
+    monkeypatch.setattr(ld, "RARE", 3)
+    text = "\n".join(f"line {i} of a text that many documents hold" for i in range(6))
+    df = spark.createDataFrame([(i, text + (f"\nown line {i}" if i % 2 else "")) for i in range(20)], "doc_id long, text string")
+    got = {r.row.doc_id: r for r in ld.without_repeated_lines(df, ["doc_id"]).collect()}
+    assert got[0].n_removed == 0 and all(got[i].n_removed == 6 for i in range(1, 20))
+    assert got[3].kept == "own line 3"
+
+
+def test_lines_of_a_batch():
+    texts = [b"a\n\n b \r\n\nb", b"", b"\n", b"a", b"a", " é\n".encode()]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    hashes, sizes, first = ld.cut_lines(data, offsets)
+    assert first.tolist() == [0, 3, 3, 3, 4, 5, 6] and sizes.tolist() == [1, 1, 1, 1, 1, 2]
+    assert hashes[1] == hashes[2] and hashes[0] == hashes[3] == hashes[4] and len(set(hashes.tolist())) == 3
+
+
+def test_empty_table(spark):
+    assert ld.without_repeated_lines(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
+
+
+def test_query(spark):
+    import hashlib
+
+    folder = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    want = [(d, n, g, hashlib.sha256(k.encode()).hexdigest()) for d, n, g, k in brute(docs)]
+    got = [tuple(r) for r in ld.op1_line_dedup(spark, folder).collect()]
+    assert sorted(got) == sorted(want) and any(r[2] for r in got)
+
+
+def test_difflib_agrees_on_simple_edits():
+    a = [f"line {i}" for i in range(50)]
+    b = a[:10] + ["new"] + a[12:30] + a[33:]
+    blocks = [m for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+    assert ld.matched(a, b) == [(m.a + k, m.b + k) for m in blocks for k in range(m.size)]

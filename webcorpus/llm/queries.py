@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from webcorpus.llm import bpe, chat, decontaminate, jaccard, lm, quality, revisits, substrings, topk
+from webcorpus.llm import bpe, chat, decontaminate, jaccard, line_dedup, lm, quality, revisits, substrings, topk
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_lm_score": lm.op2_lm_score,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_decontamination": decontaminate.op4_decontamination,
