@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 
 from webcorpus.llm import words
 from webcorpus.llm.batches import map_texts
-from webcorpus.plans.storage import stage
 
 WINDOW, SEED = 20, 8
 #: Bytes of text that settle their repeats before anything is sent.
@@ -158,7 +157,8 @@ def _packed(windows: list[np.ndarray], docs: np.ndarray, tags: np.ndarray, bucke
         rows["repeats"].append([])
         for name, value in values.items():
             rows[name].append(value.astype(_TYPES[name]).tobytes())
-    rows["bucket"].append(0)
+    # what is settled already goes along, to any bucket
+    rows["bucket"].append(int(docs[0]) % buckets)
     rows["repeats"].append(repeats)
     for name in _TYPES:
         rows[name].append(None)
@@ -166,11 +166,12 @@ def _packed(windows: list[np.ndarray], docs: np.ndarray, tags: np.ndarray, bucke
     return pa.RecordBatch.from_arrays([pa.array(rows[n], kinds[n]) for n in rows], names=list(rows))
 
 
-_REPEATS = pa.list_(pa.struct([("doc", pa.int64()), ("tag", pa.int64()), ("runs", pa.binary())]))
+_RUNS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("runs", pa.binary())])
+_REPEATS = pa.list_(pa.struct(list(_RUNS)))
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The repeats among the windows of a bucket; batches are sorted by bucket."""
+    """The repeats among the windows of each bucket; batches are sorted by bucket."""
     held: list[dict] = []
     bucket = None
     for batch in batches:
@@ -178,7 +179,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if row["bucket"] != bucket:
                 yield _settled(held)
                 bucket, held = row["bucket"], []
-            held.append(row)
+            if row["docs"] is None:
+                yield pa.RecordBatch.from_pylist(row["repeats"], _RUNS)
+            else:
+                held.append(row)
     yield _settled(held)
 
 
@@ -202,7 +206,7 @@ def _settled(rows: list[dict]) -> pa.RecordBatch:
         del parts
         again = _repeated([joined["high"], joined["low"], joined["seed"]], joined["doc"], joined["start"])
         found = _runs_by_text(joined["doc"][again], joined["tag"][again], joined["start"][again])
-    return pa.RecordBatch.from_pylist(found, pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("runs", pa.binary())]))
+    return pa.RecordBatch.from_pylist(found, _RUNS)
 
 
 def repeats(docs: DataFrame, column: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -215,14 +219,11 @@ def repeats(docs: DataFrame, column: str = "text", window: int = WINDOW, seed: i
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    sent = stage(map_texts(docs, _row_key(column), _send(buckets, window, seed), _SENT, column), "substring-seeds")
-    met = (
-        sent.where("docs IS NOT NULL").drop("repeats")
-        .repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    sent = map_texts(docs, _row_key(column), _send(buckets, window, seed), _SENT, column)
+    return (
+        sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
         .mapInArrow(_settle, "doc long, tag long, runs binary")
     )
-    own = sent.select(F.explode("repeats").alias("r")).select("r.doc", "r.tag", "r.runs")
-    return met.unionByName(own)
 
 
 def without_repeats(docs: DataFrame, keep: list[str], column: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
