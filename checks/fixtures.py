@@ -109,12 +109,24 @@ STATEMENTS: dict[str, str] = {
             lead(url, 1) over (partition by split_part(url, '/', 3) order by page_id) as n1,
             lead(url, 2) over (partition by split_part(url, '/', 3) order by page_id) as n2
           from {pages}) g""",
+    "nested_x": """
+        select page_id, url, replace(replace(html, '<article>', '<div id="comments"><div>first</div><div><div>second</div></div></div><article>'),
+          '<nav>', '<nav class="a"><ul><li><nav>inner<nav>most</nav></nav></li></ul>rest</nav><nav>') as html
+        from {pages}""",
     "meta_x": """
         select page_id, url, case page_id % 3
           when 0 then replace(html, '<meta charset="utf-8">', '<meta charset="utf-8"><meta name="author" content="A. Writer &amp; Co"><meta content="2024-03-05T10:00:00Z" property="article:published_time">')
           when 1 then replace(replace(html, ' lang="', ' data-lang="'), '<meta charset="utf-8">', '<meta charset="utf-8"><meta http-equiv="content-language" content="SK-sk">')
           else replace(html, '<article>', '<article><time datetime="2023-11-30">then</time>') end as html
         from {pages}""",
+    "meta_y": """
+        select page_id, url, case page_id % 4
+          when 0 then replace(html, '</title>', '</title><script type="application/ld+json">' || chr(123) || '"@type": "Article", "author": ' || chr(123)
+            || '"@type": "Person", "name": "J. Doe"' || chr(125) || ', "datePublished": "15 March 2024"' || chr(125) || '</script>')
+          when 1 then replace(html, '<article>', '<article><p>by <a href="/me" rel="author"><b>R. Roe</b></a> on <span itemprop="datePublished" content="2024/3/5">a day</span></p>')
+          when 2 then replace(html, '</title>', '</title><meta name="date" content="20231231"><script type=application/ld+json>' || chr(123) || '"author": ["A. One", "B. Two"]' || chr(125) || '</script>')
+          else replace(html, '<article>', '<article><span itemprop=author>S&nbsp Tan&#146;s</span> <time datetime="March 7th, 2022">then</time>') end as html
+        from {pages}""",
     "status_x": """
         select user_id as task_id,
           case event_type when 'signup' then 'pending' when 'purchase' then 'completed'

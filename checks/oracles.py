@@ -28,6 +28,7 @@ _PRIORITY = (
 )
 _HOST = "lower(split_part(split_part(url, '/', 3), ':', 1))"
 _ORIGIN = "split_part(url, '/', 1) || '//' || split_part(url, '/', 3)"
+_ID = "cast('0x' || substr(md5(url), 1, 15) as bigint)"
 _BARE = "rtrim(regexp_replace(url, '#.*$', ''), '/')"
 
 
@@ -90,15 +91,6 @@ def _blocks(html: str) -> str:
     )
 
 
-def _full_length(text: str, title: str, author: str, url: str, date: str) -> str:
-    """Length of a text with its metadata lines."""
-    host = f"lower(split_part(split_part({url}, '/', 3), ':', 1))"
-    return (
-        f"length(concat_ws(chr(10), '---', 'title: ' || {title}, 'author: ' || {author}, "
-        f"'url: ' || {url}, 'hostname: ' || {host}, 'date: ' || {date}, '---', {text}))"
-    )
-
-
 def _text_of(blocks: str) -> str:
     return f"array_to_string({blocks}, chr(10))"
 
@@ -210,6 +202,7 @@ LIBRARY: dict[str, str] = {
         select distinct {_BARE} as url
         from (select arg_min(url, page_id) as url from {{graph_x}} group by {_HOST})""",
     "seen": f"select url from {{seeds}} union select {_BARE} from {{graph_x}} where page_id % 10 = 9",
+    "full_pages": f"select {_BARE} as url from {{page_blocks}} where length({_text_of('blocks')}) >= 50",
     "hop1": """
         select e.url, arg_min(e.priority, e.parent_url) as priority, 1 as depth,
           min(e.parent_url) as parent_url
@@ -267,7 +260,7 @@ LIBRARY: dict[str, str] = {
         select t.page_id, t.url, t.text, i.title, m.language, m.author, m.date
         from {{meta_texts}} t join {{titles}} i on i.page_id = t.page_id
           join {{meta_values}} m on m.page_id = t.page_id
-        where t.text <> '' and {_full_length('t.text', 'i.title', 'm.author', 't.url', 'm.date')} >= 50""",
+        where length(t.text) >= 50""",
     # --- a crawl batch ---
     "batch": f"""
         select d.id, d.url, case when message is null then 'completed' else 'failed' end as status,
@@ -280,12 +273,11 @@ LIBRARY: dict[str, str] = {
               when f.http_status not between 200 and 299 then 'HTTP ' || f.http_status
               when not contains(lower(coalesce(f.content_type, '')), 'text/html')
                 then 'Not HTML: ' || coalesce(f.content_type, '')
-              when trim(f.html) = '' or len(b.blocks) = 0
-                or {_full_length(_text_of('b.blocks'), 'n.title', 'null', 'd.url', 'null')} < 50
+              when trim(f.html) = '' or length({_text_of('b.blocks')}) < 50
                 then 'Content extraction failed'
             end as message
           from {{decided}} d join {{fetches_x}} f on f.url = d.url
-            join {{page_blocks}} b on b.page_id = d.id join {{titles}} n on n.page_id = d.id) d
+            join {{page_blocks}} b on b.page_id = d.id) d
         join (select page_id, {_text_of('blocks')} as text from {{page_blocks}}) f on f.page_id = d.id
         join {{titles}} i on i.page_id = d.id join {{pages}} p on p.page_id = d.id""",
     "batch_links": f"""
@@ -293,8 +285,7 @@ LIBRARY: dict[str, str] = {
           select d.page_id, d.parent_url, d.url, row_number() over (partition by d.page_id order by d.position) as position
           from (select *, {_PREDICTED} as lang from (select *, {_HOST} as host from {{discovered}})) d
           where {_KEPT_LANGUAGE}
-            and d.page_id in (select id from {{batch}} where status = 'completed'))
-        where position <= 100""",
+            and d.page_id in (select id from {{batch}} where status = 'completed'))""",
     "batch_admitted": """
         select url, parent_url from (
           select *, row_number() over (partition by url order by parent_url, position) as nth
@@ -318,7 +309,7 @@ ORACLES: dict[str, str] = {
     "scan_frontier": "select id, url, priority, domain, status from {tasks_x}",
     "scan_robots": "select origin, case when http_status = 200 then body end as body from {robots_raw_x}",
     "sink_content": "select page_id as id, url, title, text as content, language, author, date from {contents}",
-    "sink_links": "select url, priority, split_part(url, '/', 3) as domain, 'pending' as status, depth, parent_url from {admitted}",
+    "sink_links": f"select {_ID} as id, url, priority, split_part(url, '/', 3) as domain, 'pending' as status, depth, priority as parent_score, parent_url from {{admitted}}",
     "sink_status": _EVENTS,
     "url_parts": """
         select page_id, case when contains(url, '://') then lower(split_part(url, ':', 1)) else '' end as scheme,
@@ -383,9 +374,14 @@ ORACLES: dict[str, str] = {
     "html_language": "select page_id, language from {meta_values}",
     "html_author": "select page_id, author from {meta_values}",
     "html_date": "select page_id, date from {meta_values}",
+    "html_author_marked": """
+        select page_id, case page_id % 4 when 0 then 'J. Doe' when 1 then 'R. Roe' when 2 then 'A. One'
+          else 'S Tan’s' end as author from {pages}""",
+    "html_date_forms": """
+        select page_id, case page_id % 4 when 0 then '2024-03-15' when 1 then '2024-03-05' when 2 then '2023-12-31'
+          else '2022-03-07' end as date from {pages}""",
     "content_min_length": f"""
-        select b.page_id, {_full_length(_text_of('b.blocks'), 't.title', 'null', 'b.url', 'null')} >= 1000 as long_enough
-        from {{page_blocks}} b join {{titles}} t on t.page_id = b.page_id""",
+        select page_id, length({_text_of('blocks')}) >= 1000 as long_enough from {{page_blocks}}""",
     "extract_content": "select page_id, url, title, text, language, author, date from {contents}",
     "links_gate_score": "select page_id, parent_score from {scored_x} where parent_score >= 60",
     "links_gate_depth": "select page_id, depth from {scored_x} where depth < 3",
@@ -397,7 +393,7 @@ ORACLES: dict[str, str] = {
     "links_block_pattern": f"select page_id, position, url from {{numbered}} where not regexp_matches(url, {_BLOCK})",
     "links_block_ext": f"select page_id, position, url from {{numbered}} where not regexp_matches(lower(split_part(url, '?', 1)), {_EXTENSION})",
     "links_should_crawl": "select page_id, position, url from {good}",
-    "links_priority": f"select page_id, {_PRIORITY} as priority from {{scored_x}} where parent_score is not null",
+    "links_priority": f"select page_id, {_PRIORITY} as priority from (select page_id, coalesce(parent_score, 0) as parent_score from {{scored_x}})",
     "links_depth_parent": "select page_id, url, depth, parent_url from {discovered}",
     "links_dedupe": "select page_id, position, url from {page_links}",
     "links_config": f"""
@@ -424,6 +420,11 @@ ORACLES: dict[str, str] = {
           coalesce(l.links, 0) as links
         from {batch} b left join (select page_id, count(*) as links from {batch_links} group by page_id) l
           on l.page_id = b.id""",
+    "crawl_two_rounds": f"""
+        select distinct {_ID} as id, url, case when url in (select url from {{full_pages}}) then 'completed' else 'failed' end as status
+        from (select e.url from {{edges}} e join {{seeds}} s on e.parent_url = s.url
+          where e.parent_url in (select url from {{full_pages}})) r
+        where url not in (select url from {{seen}}) and url in (select {_BARE} from {{graph_x}})""",
     "crawl_results": "select id, url, title, text, language from {batch} where status = 'completed' order by id limit 20",
     "report_links": """
         select l.parent_url, count(*) as found, count(a.url) as added, count(*) - count(a.url) as skipped

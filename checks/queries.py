@@ -337,7 +337,8 @@ def html_visible(spark, sf_dir):
 
 @query
 def html_boilerplate_regions(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
+    """Pages with nested regions put in: they go as wholes."""
+    return table(spark, sf_dir, "nested_x").select(
         "page_id", html.without_boilerplate(F.col("html")).alias("html")
     )
 
@@ -380,6 +381,8 @@ _metadata_query("html_title", "title", "pages")
 _metadata_query("html_language", "language", "meta_x")
 _metadata_query("html_author", "author", "meta_x")
 _metadata_query("html_date", "date", "meta_x")
+_metadata_query("html_author_marked", "author", "meta_y")
+_metadata_query("html_date_forms", "date", "meta_y")
 
 
 @query
@@ -464,7 +467,7 @@ def links_should_crawl(spark, sf_dir):
 
 @query
 def links_priority(spark, sf_dir):
-    scored = table(spark, sf_dir, "scored_x").where(F.col("parent_score").isNotNull())
+    scored = table(spark, sf_dir, "scored_x")
     return scored.select("page_id", linkrules.priority(F.col("parent_score")).alias("priority"))
 
 
@@ -554,6 +557,29 @@ def crawl_batch(spark, sf_dir):
     )
 
 
+@query
+def crawl_two_rounds(spark, sf_dir):
+    """Links of a first batch are stored as tasks, read back, and crawled in a second one."""
+    options = CrawlOptions(allowed_domains=ALLOWED, respect_robots=False, filter_by_language=False)
+    stored = table(spark, sf_dir, "graph_x").withColumn("url", urls.strip_slash(urls.defrag(_url())))
+    # fetches have one row per URL
+    first_page = F.min(F.struct("page_id", "html", "parent_score")).alias("p")
+    stored = stored.groupBy("url").agg(first_page).select("url", "p.*")
+    fetches = stored.select(
+        "url", F.lit(200).alias("http_status"), F.lit("text/html").alias("content_type"), "html",
+        *[F.lit(None).cast("string").alias(c) for c in ("error_kind", "error")],
+    )
+    seeds = stored.groupBy(urls.host(_url()).alias("host")).agg(F.min_by(F.struct("url", "parent_score"), "page_id").alias("s"))
+    seeds = seeds.select("s.*").select(frontier.url_id(_url()).alias("id"), "url", F.lit(0).alias("depth"), "parent_score")
+    known = stored.where(F.col("page_id") % 10 == 9).select("url").union(seeds.select("url"))
+    first = crawl.crawl_batch(seeds, None, fetches, options)
+    folder = new_folder(spark, "two-rounds")
+    sinks.sink_links(frontier.to_frontier(frontier.admit_links(first.links, known), options), folder, 0)
+    found = tables.scan_frontier(spark, folder)
+    second = frontier.next_tasks(found, found.count())
+    return crawl.crawl_batch(second, None, fetches, options).outcomes.select("id", "url", "status")
+
+
 @query
 def crawl_results(spark, sf_dir):
     found = crawl.crawl_results(_batch(spark, sf_dir, staged=True).content, 20)
@@ -593,10 +619,10 @@ def stream_crawl(spark, sf_dir):
     rules = _rules(spark, sf_dir)
     known = _known(spark, sf_dir)
     jobs.stream_crawl(fetches, _tasks(spark, sf_dir), rules, known, OPTIONS, out).awaitTermination()
+    jobs.settle_refused(_tasks(spark, sf_dir), rules, OPTIONS, out, 0)
     stored = sinks.read_batches(spark, f"{out}/content", schemas.PAYLOAD)
-    state = frontier.latest_status(
-        sinks.read_batches(spark, f"{out}/status", schemas.STATUS_EVENTS)
-    )
+    events = [sinks.read_batches(spark, f"{out}/{name}", schemas.STATUS_EVENTS) for name in ("status", "refused")]
+    state = frontier.latest_status(events[0].unionByName(events[1]))
     texts = stored.select(F.col("id").alias("task_id"), "title", F.md5("content").alias("text_md5"))
     return state.join(texts, "task_id", "left")
 

@@ -114,3 +114,40 @@ def test_expansion_stops_at_depth_and_at_known_urls(spark):
     grown = crawl.frontier_expand(seeds, pages, known, CrawlOptions(allowed_domains=[".*"]))
     got = sorted((r.depth, r.url, r.parent_url) for r in grown.collect())
     assert got == [(d, f"https://h.com/{d}", f"https://h.com/{d - 1}") for d in (1, 2, 3)]
+
+
+def _fetched(spark, n, html="<p>" + "word " * 30):
+    rows = [(f"https://h.example/{i}", 200, "text/html", html, None, None) for i in range(n)]
+    return spark.createDataFrame(rows, "url string, http_status int, content_type string, html string, error_kind string, error string")
+
+
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
+def test_a_batch_reads_each_wanted_page_once(spark, broadcast_bytes):
+    options = CrawlOptions(allowed_domains=[".*"], respect_robots=False, max_content_length=100_000, filter_by_language=False)
+    many = "".join(f'<a href="/l/{i}">x</a>' for i in range(300))
+    fetches = _fetched(spark, 40).union(_fetched(spark, 1, "x" * 100_001).withColumn("url", F.lit("https://h.example/long")))
+    fetches = fetches.union(_fetched(spark, 1, many + "<p>" + "word " * 30).withColumn("url", F.lit("https://h.example/many")))
+    fetches = fetches.union(_fetched(spark, 1).withColumns({"url": F.lit("https://h.example/none"), "http_status": F.lit(None).cast("int")}))
+    names = ["0", "3", "long", "many", "none", "never fetched"]
+    tasks = spark.createDataFrame([(i, f"https://h.example/{n}", 0, 80) for i, n in enumerate(names)], "id bigint, url string, depth int, parent_score int")
+    batch = crawl.crawl_batch(tasks, None, fetches, options, staged=False, broadcast_bytes=broadcast_bytes)
+    got = {r.id: (r.status, r.error_message) for r in batch.outcomes.collect()}
+    assert got == {
+        0: ("completed", None), 1: ("completed", None), 2: ("failed", "Content too long"), 3: ("completed", None),
+        4: ("failed", "Unexpected error: "),
+    }
+    assert batch.links.count() == 300
+    plan = batch.content._jdf.queryExecution().optimizedPlan().toString()
+    # the html column is defined by one relation per union branch of this test, each read once
+    assert plan.count("LogicalRDD") == plan.count("LogicalRDD [url") + plan.count("LogicalRDD [id")
+    assert plan.count("LogicalRDD [url") == 4
+
+
+def test_bitmap_of_keys_keeps_what_is_in_it(spark):
+    from webcorpus.plans import skew
+
+    df = spark.range(20_000).select(F.concat(F.lit("u"), "id").alias("url"), "id")
+    kept = skew.likely_in(df, df.where("id % 7 = 0").select("url"), "url")
+    rows = {r.id for r in kept.collect()}
+    assert {i for i in range(20_000) if i % 7 == 0} <= rows and len(rows) < 3000 and kept.columns == df.columns
+    assert skew.likely_in(df, df.limit(0).select("url"), "url").count() == 0

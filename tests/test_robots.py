@@ -116,3 +116,20 @@ def test_gate_and_delay(spark):
     assert {r.id: (r.allowed, r.delay) for r in gated.collect()} == {1: (True, 1.0), 2: (True, 4.0), 3: (False, 1.0)}
     off = robots.robots_gate(tasks, rules, CrawlOptions(respect_robots=False), ["id"])
     assert {r.id: (r.allowed, r.delay) for r in off.collect()} == {i: (True, None) for i in (1, 2, 3)}
+
+
+def test_repeated_origins(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+    from py4j.protocol import Py4JJavaError
+
+    columns = "origin string, http_status int, body string"
+    same = spark.createDataFrame([("https://a", 200, "User-agent: *")] * 2 + [("https://b", 404, "x"), ("https://b", 500, "y")], columns)
+    assert robots.parse_robots(same).count() == 2
+    for other in (("https://a", 200, "User-agent: x"), ("https://a", 404, None)):
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            robots.parse_robots(same.union(spark.createDataFrame([other], columns))).collect()
+    dated = spark.createDataFrame(
+        [("https://a", 200, "User-agent: *\nDisallow: /old", 1), ("https://a", 200, "User-agent: *\nDisallow: /new", 2)], columns + ", fetched_at int")
+    (row,) = robots.flat_rules(robots.parse_robots(dated)).collect()
+    assert row.path == "/new"

@@ -32,7 +32,7 @@ def test_admission_is_exact_across_batches(spark, tmp_path, files):
 
 def test_rerun_of_a_batch_replaces_it(spark, tmp_path):
     folder = str(tmp_path / "links")
-    rows = spark.createDataFrame([("u", 1, "d", "pending", 1, "p")], schemas.ADMITTED)
+    rows = spark.createDataFrame([(7, "u", 1, "d", "pending", 1, 1, "p")], schemas.ADMITTED)
     for batch in (0, 1, 1):
         sinks.sink_links(rows, folder, batch)
     stored = sinks.read_batches(spark, folder, schemas.ADMITTED)
@@ -70,3 +70,36 @@ def test_content_payload(spark):
     row = spark.createDataFrame([(1, "u", None, "t", "en", "", "2024-01-01")], "id bigint, url string, title string, text string, language string, author string, date string")
     got = sinks.content_payload(row).first()
     assert (got.content, got.author, got.date, got.title) == ("t", None, "2024-01-01", None)
+
+
+def test_task_feed_rejects_whatever_is_read(spark, tmp_path):
+    good = '{"id": 1, "url": "https://a.example/x", "priority": 2, "domain": "a.example", "status": "pending"}'
+    for name, bad in {"missing": good.replace('"priority": 2, ', ""), "broken": good[:-7]}.items():
+        (tmp_path / f"{name}.json").write_text(good + "\n" + bad + "\n")
+        feed = tables.scan_task_feed(spark, str(tmp_path / f"{name}.json"))
+        for read in (feed.count, feed.select("url").collect, feed.collect):
+            with pytest.raises((PySparkException, Py4JJavaError)):
+                read()
+
+
+def test_refused_tasks_added_later_are_settled(spark, tmp_path):
+    rules = spark.createDataFrame([("https://a.example", None, [(False, "/no")])], "origin string, crawl_delay double, rules array<struct<allow: boolean, path: string>>")
+    tasks = [(i, f"https://a.example/{'no' if i % 2 else 'yes'}/{i}") for i in range(6)]
+    out = str(tmp_path / "out")
+    for run, n in ((0, 3), (1, 6), (1, 6)):
+        jobs.settle_refused(spark.createDataFrame(tasks[:n], "id bigint, url string"), rules, CrawlOptions(), out, run)
+    stored = sinks.read_batches(spark, f"{out}/refused", schemas.STATUS_EVENTS)
+    assert sorted((r.task_id, r.batch_id) for r in stored.where("status = 'failed'").collect()) == [(1, 0), (3, 1), (5, 1)]
+
+
+def test_a_lost_checkpoint_stops_the_stream(spark, tmp_path):
+    import shutil
+
+    links = spark.createDataFrame([("https://h.com/1", 50, 1, "p", 0)], LINKS)
+    out, known = str(tmp_path / "out"), spark.createDataFrame([], "url string")
+    source = _source(spark, links, str(tmp_path / "in"), 1)
+    jobs.stream_admit_links(source, known, CrawlOptions(), out).awaitTermination()
+    jobs.stream_admit_links(source, known, CrawlOptions(), out).awaitTermination()
+    shutil.rmtree(f"{out}/_checkpoint")
+    with pytest.raises(ValueError, match="checkpoint is gone"):
+        jobs.stream_admit_links(source, known, CrawlOptions(), out)

@@ -81,11 +81,8 @@ NON_EU_TLDS = [
 # Value of a predicted language that marks a URL as certainly outside the EU.
 SKIP = "SKIP"
 
-# Limits and messages.
+# Fewest characters of a content.
 MIN_CONTENT_CHARS = 50
-MAX_CONTENT_LENGTH = 10_000_000
-LINKS_PER_PAGE = 100
-SUBMITTED_PRIORITY = 6
 
 # ---------------------------------------------------------------------------------
 
@@ -105,7 +102,7 @@ class CrawlOptions:
     blocked_extensions: list[str] = field(default_factory=list)
     max_depth: int = 3
     min_parent_score: int = 60
-    links_per_page: int = LINKS_PER_PAGE
+    links_per_page: int | None = None
     fixed_priority: int | None = None
     # languages of discovered links
     filter_by_language: bool = True

@@ -19,8 +19,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def lookup(table: dict[str, str], key: Column) -> Column:
     """Value of a fixed table, NULL for another key. The table is one literal."""
-    text = "\n".join(f"{k}={v}" for k, v in table.items())
-    return F.try_element_at(F.str_to_map(F.lit(text), F.lit("\n"), F.lit("=")), key)
+    # no key or value has these control characters
+    text = "\x01".join(f"{k}\x02{v}" for k, v in table.items())
+    return F.try_element_at(F.str_to_map(F.lit(text), F.lit("\x01"), F.lit("\x02")), key)
 
 
 def computed_once(df: DataFrame, *columns: str) -> DataFrame:

@@ -7,7 +7,7 @@ end of the page, as it does for a parser, so it is looked for only once.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,10 +45,24 @@ _COMMENT_ATTRIBUTE = (
     rf"""|(?:[^\s"'<>]*[_-])?{_COMMENT_NAME}(?:[_-][^\s"'<>]*)?(?=[\s>]))"""
 )
 _COMMENT_AREA = (
-    r"(?:section|div|ul|ol)(?=[\s/])"
+    r"(section|div|ul|ol)(?=[\s/])"
     + _SKIP_ATTRIBUTES.replace("{wanted}", _COMMENT_ATTRIBUTE)
-    + rf"{_COMMENT_ATTRIBUTE}{_IN_TAG}>.*?(?:</(?:section|div|ul|ol)\s*>|\z)"
+    + rf"{_COMMENT_ATTRIBUTE}{_IN_TAG}>"
 )
+#: Elements of one name inside each other that a region keeps apart; a deeper one ends at
+#: the next closing tag.
+_NESTED = 8
+
+
+def _region_rest(group: int) -> str:
+    """What follows the opening tag of the element named in a group, to its own end or that
+    of the page. Elements of the same name inside are skipped as wholes."""
+    inside = rf"(?:[^<]++|<(?!\{group}{_OPEN}|/\{group}\s*+>))*+"
+    end = rf"(?:</\{group}\s*>|\z)"
+    rest = f".*?{end}"
+    for _ in range(_NESTED):
+        rest = rf"{inside}(?:<\{group}{_OPEN}{rest}{inside})*+{end}"
+    return rest
 
 
 def is_blank(html: Column) -> Column:
@@ -77,17 +91,30 @@ def visible(html: Column) -> Column:
 
 def without_boilerplate(html: Column) -> Column:
     """The visible page without navigation, footer, aside and comment areas."""
-    return _without(html, (*HIDDEN_TAGS, *BOILERPLATE_TAGS), _COMMENT, _COMMENT_AREA)
+    regions = rf"({'|'.join(BOILERPLATE_TAGS)}){_OPEN}{_region_rest(2)}"
+    return _without(html, HIDDEN_TAGS, _COMMENT, regions, _COMMENT_AREA + _region_rest(3))
 
 
 # --- character references ---------------------------------------------------------
 
+_NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+# names that need no semicolon, longer ones first
+_OPEN_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+_COMMON = {name: _NAMED[name] for name in ("lt", "gt", "quot", "apos", "nbsp", "copy", "middot", "ndash", "mdash")}
+# Numbers 128-159 mean the characters of Windows-1252 that have them, where there is one.
+_WINDOWS = {
+    str(code): bytes([code]).decode("cp1252")
+    for code in range(128, 160)
+    if code not in (129, 141, 143, 144, 157)
+}
+
 
 def _from_codepoint(code: Column) -> Column:
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     # the byte order mark keeps U+FEFF itself from being read as one
     utf32 = F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0")))
-    return F.when(valid, F.decode(utf32, "UTF-32")).otherwise("")
+    character = F.when(valid, F.decode(utf32, "UTF-32")).otherwise("")
+    return F.when(code.between(128, 159), F.coalesce(lookup(_WINDOWS, code.cast("string")), character)).otherwise(character)
 
 
 def _codepoint(digits: Column) -> Column:
@@ -102,6 +129,8 @@ def _split_reference(piece: Column) -> Column:
     return F.struct(
         piece.alias("text"),
         F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1).alias("name"),
+        # in attributes such names may be parameters, so they end before "=" and letters
+        F.regexp_extract(piece, rf"^({'|'.join(_OPEN_NAMES)})(?![=;A-Za-z0-9])", 1).alias("open"),
         F.regexp_extract(piece, r"^#([xX][0-9A-Fa-f]+|[0-9]+)", 1).alias("digits"),
     )
 
@@ -110,10 +139,14 @@ def _join_reference(piece: Column) -> Column:
     name, digits, text = piece["name"], piece["digits"], piece["text"]
     rest = F.substr(text, F.length(name) + 2)
     number = F.transform(F.array(_codepoint(digits)), _from_codepoint)
-    table = {n: chr(c) for n, c in sorted(name2codepoint.items())} | {"apos": "'"}
+    opened = piece["open"]
     return (
         F.when(name == "amp", F.concat(F.lit("&"), rest))
-        .when(name != "", F.coalesce(F.concat(lookup(table, name), rest), F.concat(F.lit("&"), text)))
+        .when(
+            name != "",
+            F.concat(F.coalesce(lookup(_COMMON, name), lookup(_NAMED, name), F.concat(F.lit("&"), name, F.lit(";"))), rest),
+        )
+        .when(opened != "", F.concat(lookup(_NAMED, opened), F.substr(text, F.length(opened) + 1)))
         .when(
             digits != "",
             F.concat(F.get(number, 0), F.regexp_replace(text, r"^#[xX]?[0-9A-Fa-f]+;?", "")),
@@ -236,16 +269,74 @@ def language(found: Column, tags: Column) -> Column:
     return F.coalesce(primary(F.get(found, 1)), primary(meta(tags, "content-language")))
 
 
-def author(tags: Column) -> Column:
-    return meta(tags, "author", "article:author", "dc.creator")
+def linked_data(html: Column) -> Column:
+    """The JSON-LD texts of a page, joined."""
+    script = r"(?is)<script(?=[\s/])[^<>]*application/ld\+json[^<>]*>(.*?)(?:</script|\z)"
+    return F.array_join(F.regexp_extract_all(html, F.lit(script), F.lit(1)), "\n")
+
+
+def _json_text(value: Column) -> Column:
+    """A JSON string without its quotes, escapes undone."""
+    return F.get_json_object(F.concat(F.lit('{"v":"'), value, F.lit('"}')), "$.v")
+
+
+def _marked(markup: Column, name: str) -> tuple[Column, Column]:
+    """Tag and first text of the first element marked as `name` by rel or itemprop."""
+    tag = rf"""(?is)<(?:a|address|abbr|div|h[1-6]|li|p|span|strong|time)\s[^<>]*?(?:rel|itemprop)\s*=\s*["']?{name}(?=["'\s>])[^<>]*>"""
+    text = r"(?:\s*+<(?!/)[^<>]*+>)*+\s*+([^<]*)"
+    return F.regexp_extract(markup, tag, 0), plain(F.regexp_extract(markup, tag + text, 1))
 
 
-def date(found: Column, tags: Column) -> Column:
-    """Publication date as an ISO string, from article metadata or a time element."""
-    raw = F.coalesce(
-        meta(tags, "article:published_time", "datepublished", "dc.date", "date"), F.get(found, 2)
+def author(tags: Column, markup: Column, data: Column) -> Column:
+    """The author named by meta tags, else by JSON-LD, else by a marked element."""
+    string = r'"((?:[^"\\]|\\.)*+)"'
+    given = F.regexp_extract(data, rf'(?s)"author"\s*:\s*(?:\[\s*)?{string}', 1)
+    named = F.regexp_extract(data, rf'(?s)"author"\s*:\s*(?:\[\s*)?\{{[^{{}}]*?"name"\s*:\s*{string}', 1)
+    empty = F.lit("")
+    return F.coalesce(
+        meta(tags, "author", "article:author", "dc.creator"),
+        F.nullif(_json_text(F.nullif(given, empty)), empty),
+        F.nullif(_json_text(F.nullif(named, empty)), empty),
+        F.nullif(_marked(markup, "author")[1], empty),
+    )
+
+
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
+_MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+
+
+def iso_date(raw: Column) -> Column:
+    """A date at the start of a text as YYYY-MM-DD: 2024-03-15, 2024/3/15, 20240315,
+    15 March 2024 or March 15, 2024. NULL where there is none, or no such day."""
+    forms = [
+        (r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)", (1, 2, 3)),
+        (r"^\s*(\d{4})(\d{2})(\d{2})(?!\d)", (1, 2, 3)),
+        (rf"(?i)^\s*(?:[a-z]{{3,9}},?\s+)?(\d{{1,2}})(?:st|nd|rd|th)?\.?\s+{_MONTH},?\s+(\d{{4}})(?!\d)", (3, 2, 1)),
+        (rf"(?i)^\s*{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?!\d)", (3, 1, 2)),
+    ]
+
+    months = dict(zip(_MONTHS.split(), map(str, range(1, 13)), strict=True))
+    out = []
+    for pattern, groups in forms:
+        year, month, number = (F.regexp_extract(raw, pattern, g) for g in groups)
+        numbered = F.coalesce(lookup(months, F.lower(month)), month)
+        text = F.concat_ws("-", year, F.lpad(numbered, 2, "0"), F.lpad(number, 2, "0"))
+        out.append(F.when(year != "", F.try_to_date(text, "yyyy-MM-dd").cast("string")))
+    return F.coalesce(*out)
+
+
+def date(found: Column, tags: Column, markup: Column, data: Column) -> Column:
+    """Publication date as an ISO string, from article metadata, JSON-LD, a marked element
+    or the first time element: the first of these that is a date."""
+    tag, text = _marked(markup, "datePublished")
+    stated = r"""(?is)\s(?:content|datetime)\s*=\s*["']?([^"'<>]*)"""
+    return F.coalesce(
+        iso_date(meta(tags, "article:published_time", "datepublished", "dc.date", "date")),
+        iso_date(F.regexp_extract(data, r'"datePublished"\s*:\s*"([^"]*)"', 1)),
+        iso_date(F.regexp_extract(tag, stated, 1)),
+        iso_date(text),
+        iso_date(F.get(found, 2)),
     )
-    return F.nullif(F.regexp_extract(raw, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
 
 
 def hrefs(html: Column) -> Column:

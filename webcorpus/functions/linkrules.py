@@ -48,7 +48,8 @@ def should_crawl(url: Column, options: CrawlOptions) -> Column:
 
 
 def priority(parent_score: Column) -> Column:
-    """Priority of a child link, a little below the score of its page."""
+    """Priority of a child link, a little below the score of its page; no score counts as 0."""
+    parent_score = F.coalesce(parent_score, F.lit(0))
     return (
         F.when(parent_score >= 80, F.greatest(F.lit(70), parent_score - 10))
         .when(parent_score >= 60, F.greatest(F.lit(55), parent_score - 15))

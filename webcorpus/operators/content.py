@@ -1,7 +1,8 @@
 """Content extraction over page tables.
 
-A page stays one row throughout: its blocks are an array column. Only the counts of
-(host, block) pairs that find site templates are shuffled, never text.
+A page stays one row throughout: its blocks are an array column. Finding site templates
+shuffles counts of (host, hash of a block), not text; leaving them out shuffles the blocks
+by host only when the templates measure too large to broadcast.
 """
 
 from __future__ import annotations
@@ -98,16 +99,17 @@ def with_metadata(pages: DataFrame) -> DataFrame:
     markup, found, tags = F.col("__markup"), F.col("__texts"), F.col("__metas")
     return (
         pages.withColumn("__markup", html.without_raw_text(F.col("html")))
+        .withColumn("__data", html.linked_data(F.col("html")))
         .withColumns({"__texts": html.texts(markup), "__metas": html.metas(markup)})
         .withColumns(
             {
                 "title": html.title(found),
                 "language": html.language(found, tags),
-                "author": html.author(tags),
-                "date": html.date(found, tags),
+                "author": html.author(tags, markup, F.col("__data")),
+                "date": html.date(found, tags, markup, F.col("__data")),
             }
         )
-        .drop("__markup", "__texts", "__metas")
+        .drop("__markup", "__data", "__texts", "__metas")
     )
 
 
@@ -127,21 +129,19 @@ def _with_header(text: Column) -> Column:
 def with_content(
     pages: DataFrame, options: CrawlOptions, templates: DataFrame | None = None, **join
 ) -> DataFrame:
-    """Adds `text` and the metadata to pages `(url, html, ...)`; `text` is NULL for a
-    page without enough of it. The html column is dropped."""
+    """Adds `text` and the metadata to pages `(url, html, ...)`; `text` is NULL where it
+    would have fewer than `min_content_chars` characters. The html column is dropped."""
     rest = [c for c in pages.columns if c != "html"]
     fields = ["title", "language", "author", "date", "blocks"]
     read = with_metadata(with_blocks(pages)).select(*rest, *fields)
     if templates is not None:
         read = without_templates(read, templates, **join)
     bare = F.array_join("blocks", "\n")
-    # the minimum applies to the text with its metadata lines, shown or not
-    read = read.withColumn("__text", F.when(bare != "", bare)).withColumn(
-        "__full", _with_header(F.col("__text"))
-    )
-    shown = F.col("__full" if options.metadata_header else "__text")
-    enough = F.col("__text").isNotNull() & (F.length("__full") >= options.min_content_chars)
-    return read.select(*rest, F.when(enough, shown).alias("text"), *fields[:-1])
+    read = read.withColumn("__text", F.when(bare != "", bare))
+    shown = _with_header(F.col("__text")) if options.metadata_header else F.col("__text")
+    read = read.withColumn("__shown", F.when(F.col("__text").isNotNull(), shown))
+    enough = F.length("__shown") >= options.min_content_chars
+    return read.select(*rest, F.when(enough, F.col("__shown")).alias("text"), *fields[:-1])
 
 
 def extract_content(

@@ -90,13 +90,22 @@ def admit_counts(links: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def url_id(url: Column) -> Column:
+    """The id of a task: 60 bits of a hash of its URL, the same whenever it is admitted."""
+    return F.conv(F.substring(F.md5(url), 1, 15), 16, 10).cast("bigint")
+
+
 def to_frontier(links: DataFrame, options: CrawlOptions) -> DataFrame:
-    """Admitted links as pending frontier rows; the URL identifies them."""
-    return with_priority(links, options.fixed_priority).select(
+    """Admitted links as pending tasks. Until its page is scored, a task has the priority
+    its link inherited as score."""
+    inherited = links.withColumn("parent_score", F.col("priority"))
+    return with_priority(inherited, options.fixed_priority).select(
+        url_id(F.col("url")).alias("id"),
         "url",
         "priority",
         urls.domain(F.col("url")).alias("domain"),
         F.lit("pending").alias("status"),
         "depth",
+        "parent_score",
         "parent_url",
     )

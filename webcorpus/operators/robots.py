@@ -16,8 +16,21 @@ def usable_body(raw: DataFrame) -> DataFrame:
 
 
 def parse_robots(raw: DataFrame) -> DataFrame:
-    """Records per origin. A repeated origin counts once, with its greatest text."""
-    texts = usable_body(raw).groupBy("origin").agg(F.max("body").alias("body"))
+    """Records per origin. Of a repeated origin the latest text by `fetched_at` counts; without
+    such a column, different texts for one origin stop the job."""
+    if "fetched_at" in raw.columns:
+        usable = F.when(F.col("http_status") == 200, F.col("body"))
+        # of equal times the greatest text
+        latest = F.max(F.struct("fetched_at", usable.alias("body")))
+        texts = raw.groupBy("origin").agg(latest.alias("latest")).select("origin", "latest.body")
+    else:
+        kinds = usable_body(raw).groupBy("origin").agg(
+            F.min("body").alias("least"), F.max("body").alias("body"),
+            F.count("body").alias("bodies"), F.count(F.lit(1)).alias("rows"),
+        )
+        differ = (F.col("least") != F.col("body")) | ~F.col("bodies").isin(0, F.col("rows"))
+        refusal = F.raise_error(F.concat(F.lit("different robots texts for "), F.coalesce("origin", F.lit("NULL"))))
+        texts = kinds.select("origin", F.when(F.coalesce(differ, F.lit(False)), refusal).otherwise(F.col("body")).alias("body"))
     return texts.select("origin", robotrules.entries(F.col("body")).alias("entries"))
 
 

@@ -39,7 +39,7 @@ def _read_pages(
 ) -> DataFrame:
     """Replaces html by content and `links`; links only where `link_gate` holds."""
     # what is not a usable page carries no html from here on
-    usable = outcomes.is_usable() & ~html.is_blank(F.col("html"))
+    usable = outcomes.is_usable() & ~F.col("too_long") & ~html.is_blank(F.col("html"))
     read = pages.withColumn("html", F.when(usable, F.col("html")))
     if options.extract_links:
         read = links.with_links(
@@ -50,7 +50,8 @@ def _read_pages(
             by_language=options.filter_by_language,
         )
         read = read.withColumn("html", F.col("__html")).drop("__html")
-        read = read.withColumn("links", F.slice("links", 1, options.links_per_page))
+        if options.links_per_page is not None:
+            read = read.withColumn("links", F.slice("links", 1, options.links_per_page))
     else:
         read = read.withColumn("links", F.array().cast("array<string>"))
     return computed_once(content.with_content(read, options, templates, **join), "text", "links")
@@ -67,27 +68,27 @@ def _processed(
 ) -> DataFrame:
     """One row per task with an outcome: its state, content and links.
 
-    Robots rules are applied to the narrow task table. Html is never shuffled: allowed
-    tasks that measure small are broadcast to the fetches, so only their pages are read
-    through; otherwise all pages are read next to the scan and what was found in them is
-    shuffled by URL.
+    Robots rules are applied to the narrow task table. Only pages of allowed tasks are read
+    through, each once: tasks that measure small are broadcast to the fetches; of more, a
+    bitmap of hashed URLs of fixed size is, and what was found in the pages that pass it is
+    joined to the tasks by URL. Html is never shuffled.
     """
     gated = robots.robots_gate(tasks.select(*_TASK), rules, options, ["id"], **join)
     if staged:
         gated = stage(gated, "gated-tasks")
     allowed = gated.where("allowed").select(*_TASK)
-    pages = outcomes.size_guard(fetches.select(*_FETCH, "html"), options.max_content_length)
+    pages = fetches.select(*_FETCH, "html").withColumn("too_long", outcomes.is_too_long(options.max_content_length))
     gate = links.follows_links(options)
     limit = join.get("broadcast_bytes", skew.BROADCAST_BYTES)
     if skew.measured_bytes(allowed) <= limit:
         met = pages.join(F.broadcast(allowed), "url")
         read = _read_pages(met, options, templates, join, gate)
     else:
-        found = _read_pages(pages, options, templates, join, F.lit(True))
-        hot_rows = join.get("hot_rows", skew.HOT_ROWS)
-        read = skew.salted_join(found, allowed, "url", ["title", "text"], "inner", hot_rows)
+        likely = skew.likely_in(pages, allowed, "url")
+        # one row per URL on the side of the fetches: no key is hot
+        read = _read_pages(likely, options, templates, join, F.lit(True)).join(allowed, "url")
         read = read.withColumn("links", F.when(gate, F.col("links")))
-    done = outcomes.with_outcome(read, F.lit(True), F.col("text").isNotNull())
+    done = outcomes.with_outcome(read, F.lit(True), F.col("text").isNotNull(), F.col("too_long"))
     finished = done.select(
         *_TASK, "status", "error_message", *_CONTENT,
         # links count only where content was found
@@ -134,7 +135,7 @@ def crawl_results(content_rows: DataFrame, max_tasks: int = 100) -> DataFrame:
     """At most `max_tasks` successful contents, by id. Only ids are ranked; the texts
     are then filtered by them."""
     first = content_rows.select("id").orderBy("id").limit(max_tasks)
-    return content_rows.join(F.broadcast(first) if max_tasks <= 1_000_000 else first, "id", "left_semi")
+    return content_rows.join(first, "id", "left_semi")
 
 
 def report_links(discovered: DataFrame, known: DataFrame) -> DataFrame:

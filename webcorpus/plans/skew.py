@@ -6,13 +6,15 @@ a shuffle in which each hot key is split into salted groups of bounded size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Largest side that is broadcast, in bytes of its JSON form.
 BROADCAST_BYTES = 64 << 20
 #: Rows of one key that one task may receive.
 HOT_ROWS = 1_000_000
+#: Bits of the bitmap that stands for a set of keys: 16 MB.
+BITMAP_BITS = 1 << 27
 #: Groups the rows with a NULL key are spread over; they match nothing anyway.
 NULL_GROUPS = 1024
 
@@ -74,3 +76,30 @@ def lookup_join(
     if measured_bytes(right) <= broadcast_bytes:
         return left.join(F.broadcast(right), key, how)
     return salted_join(left, right, key, spread, how, hot_rows)
+
+
+def likely_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in `keys`, and few others, without a shuffle of `df`.
+
+    Keys are hashed to the bits of one bitmap, which is broadcast in pieces of 4 KB and has
+    16 MB at most, however many keys there are. NULL keys are left out.
+    """
+    def bit(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+
+    pieces = (
+        keys.where(F.col(key).isNotNull())
+        .select(bit(key).alias("__bit"))
+        .groupBy(F.bitmap_bucket_number("__bit").alias("__piece"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__bits"))
+    )
+    marked = df.withColumn("__piece", F.bitmap_bucket_number(bit(key)))
+    place = F.bitmap_bit_position(bit(key))
+    byte = F.conv(F.hex(F.substr("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr("shiftright(__byte, __shift) % 2 = 1")
+    return (
+        marked.join(F.broadcast(pieces), "__piece")
+        .withColumns({"__byte": byte, "__shift": (place % 8).cast("int")})
+        .where(is_set)
+        .select(*df.columns)
+    )

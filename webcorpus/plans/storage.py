@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+# local mode without the setting: one folder for all sessions of this process
+_local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,9 +22,36 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="webcorpus-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="webcorpus-"))
+    return _local[0]
+
+
+_scopes = threading.local()
+
+
+def _path(spark: SparkSession, folder: str):
+    """A Hadoop path and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path, system = _path(spark, folder)
+    return system.exists(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end, when nothing may read them any more."""
+    outer, _scopes.folders = getattr(_scopes, "folders", None), []
+    try:
+        yield
+    finally:
+        for folder in _scopes.folders:
+            path, system = _path(spark, folder)
+            system.delete(path, True)
+        _scopes.folders = outer
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -32,5 +64,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executor costs a file read instead of the steps before it."""
     spark = df.sparkSession
     folder = new_folder(spark, name)
+    if getattr(_scopes, "folders", None) is not None:
+        _scopes.folders.append(folder)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

@@ -42,17 +42,14 @@ FETCHES = _schema(
     "error_kind string, error string"
 )
 
-CONTENT = _schema(
-    "url string, title string, text string, language string, author string, date string"
-)
-LINKS = _schema("url string, priority int, depth int, parent_url string")
 STATUS_EVENTS = _schema(
     "task_id bigint, status string, error_message string, ts timestamp, seq bigint"
 )
 
-#: Admitted links as pending frontier rows; the URL identifies them.
+#: Admitted links as pending tasks, as `FRONTIER` reads them back.
 ADMITTED = _schema(
-    "url string, priority int, domain string, status string, depth int, parent_url string"
+    "id bigint, url string, priority int, domain string, status string, depth int, "
+    "parent_score int, parent_url string"
 )
 #: Content as it is stored.
 PAYLOAD = _schema(

@@ -42,15 +42,14 @@ def scan_robots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def require_fields(tasks: DataFrame) -> DataFrame:
-    """Stop the job at a task that lacks one of the mandatory fields."""
+    """Stop the job at a task that lacks one of the mandatory fields. The check is a filter
+    over all of them, so it holds whichever columns are read afterwards."""
     names = schemas.TASK_FEED.fieldNames()
     missing = F.lit(False)
     for name in names:
         missing = missing | F.col(name).isNull()
-    checked = F.when(missing, F.raise_error(F.lit("crawl task without " + ", ".join(names)))).otherwise(
-        F.col("id")
-    )
-    return tasks.withColumn("id", checked.cast("bigint"))
+    refusal = F.raise_error(F.lit("crawl task without " + ", ".join(names))).cast("boolean")
+    return tasks.where(F.when(missing, refusal).otherwise(F.lit(True)))
 
 
 def scan_frontier(spark: SparkSession, path: str) -> DataFrame:

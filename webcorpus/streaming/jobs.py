@@ -10,13 +10,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from webcorpus import schemas
 from webcorpus.config import CrawlOptions
-from webcorpus.operators import frontier, language, outcomes
+from webcorpus.operators import frontier, language, outcomes, robots
 from webcorpus.plans.crawl import crawl_batch
+from webcorpus.plans.storage import exists, scratch, stage
 from webcorpus.sources import sinks
 
+# written once a stream has begun, beside its checkpoint
+_STARTED = "_started"
 
-def _start(stream: DataFrame, step, checkpoint: str, mode: str, poll: str | None) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(step).outputMode(mode)
+
+def _start(stream: DataFrame, step, out: str, poll: str | None) -> StreamingQuery:
+    checkpoint = f"{out}/_checkpoint"
+    spark = stream.sparkSession
+    if not exists(spark, checkpoint) and exists(spark, f"{out}/{_STARTED}"):
+        raise ValueError(f"{out} holds batches of a stream whose checkpoint is gone")
+
+    def numbered(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            batch.sparkSession.range(0).write.mode("overwrite").parquet(f"{out}/{_STARTED}")
+            step(batch, batch_id)
+
+    writer = stream.writeStream.foreachBatch(numbered).outputMode("append")
     writer = writer.option("checkpointLocation", checkpoint)
     if poll is None:
         return writer.trigger(availableNow=True).start()
@@ -43,26 +57,42 @@ def stream_crawl(
     """Crawl batches over a stream of fetches: links, then content, then status.
 
     Writes `out/links`, `out/content` and `out/status`. `poll` is the trigger interval
-    of an endless run; None processes what is there and stops. Tasks refused by robots
-    rules have no fetch; they are settled once, in the first batch.
+    of an endless run; None processes what is there and stops. A batch gates only the tasks
+    whose fetches it has. Tasks refused by robots rules have no fetch: `settle_refused`
+    stores their outcome.
     """
+    staged_rules = stage(rules, "stream-rules")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        result = crawl_batch(tasks, rules, batch, options, templates)
-        before = _written_before(spark, f"{out}/links", schemas.ADMITTED, batch_id)
+        own = tasks.join(batch.select("url").distinct(), "url", "left_semi")
+        result = crawl_batch(own, staged_rules, batch, options, templates)
+        refused = result.outcomes.where(F.col("error_message").eqNullSafe(outcomes.DISALLOWED))
+        status = result.status.join(refused.select(F.col("id").alias("task_id")), "task_id", "left_anti")
+        before = _written_before(batch.sparkSession, f"{out}/links", schemas.ADMITTED, batch_id)
         seen = known.select("url").union(before.select("url"))
         admitted = frontier.admit_links(result.links, seen)
-        status = result.status
-        if batch_id > 0:
-            refused = F.col("error_message").eqNullSafe(outcomes.DISALLOWED)
-            again = result.outcomes.where(refused).select(F.col("id").alias("task_id"))
-            status = status.join(again, "task_id", "left_anti")
         sinks.sink_links(frontier.to_frontier(admitted, options), f"{out}/links", batch_id)
         sinks.sink_content(result.content, f"{out}/content", batch_id)
         sinks.sink_status(status, f"{out}/status", batch_id)
 
-    return _start(fetches, step, f"{out}/_checkpoint", "append", poll)
+    return _start(fetches, step, out, poll)
+
+
+def settle_refused(
+    tasks: DataFrame, rules: DataFrame, options: CrawlOptions, out: str, run: int
+) -> None:
+    """Stores the outcome of tasks that robots rules refuse, as run `run` of `out/refused`.
+
+    Run it whenever tasks were added: those that an earlier run stored are left out, and the
+    same run again replaces its rows.
+    """
+    gated = robots.robots_gate(tasks, rules, options, ["id"])
+    refused = gated.where(~F.col("allowed")).select(
+        "id", F.lit("failed").alias("status"), F.lit(outcomes.DISALLOWED).alias("error_message")
+    )
+    stored = _written_before(tasks.sparkSession, f"{out}/refused", schemas.STATUS_EVENTS, run)
+    fresh = refused.join(stored.select(F.col("task_id").alias("id")).distinct(), "id", "left_anti")
+    sinks.sink_status(frontier.status_transitions(fresh), f"{out}/refused", run)
 
 
 def stream_admit_links(
@@ -76,21 +106,19 @@ def stream_admit_links(
         admitted = frontier.admit_links(batch, seen)
         sinks.sink_links(frontier.to_frontier(admitted, options), f"{out}/links", batch_id)
 
-    return _start(links, step, f"{out}/_checkpoint", "append", poll)
+    return _start(links, step, out, poll)
 
 
 def stream_latest_status(events: DataFrame, out: str, poll: str | None = None) -> StreamingQuery:
-    """Running state per task; each batch stores the tasks whose state it changed."""
-    order = F.struct("ts", "seq")
-    last = F.max_by(F.struct("status", "error_message", "ts", "seq"), order)
-    running = (
-        events.groupBy("task_id").agg(last.alias("last")).select("task_id", "last.*")
-    )
+    """Latest state per task; each batch stores the last event it has of a task. No state is
+    kept between batches: the stored events are folded when they are read."""
+    last = F.max_by(F.struct("status", "error_message", "ts", "seq"), F.struct("ts", "seq"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        sinks.sink_status(batch, f"{out}/status", batch_id)
+        latest = batch.groupBy("task_id").agg(last.alias("last")).select("task_id", "last.*")
+        sinks.sink_status(latest, f"{out}/status", batch_id)
 
-    return _start(running, step, f"{out}/_checkpoint", "update", poll)
+    return _start(events, step, out, poll)
 
 
 def read_latest_status(spark, out: str) -> DataFrame:
