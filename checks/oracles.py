@@ -420,6 +420,11 @@ ORACLES: dict[str, str] = {
           coalesce(l.links, 0) as links
         from {batch} b left join (select page_id, count(*) as links from {batch_links} group by page_id) l
           on l.page_id = b.id""",
+    "crawl_site_content": """
+        select d.id, md5(t.text) as text_md5
+        from {decided} d join {fetches_x} f on f.url = d.url join {page_texts} t on t.page_id = d.id
+        where d.allowed and f.error_kind is null and f.http_status between 200 and 299 and trim(f.html) <> ''
+          and contains(lower(coalesce(f.content_type, '')), 'text/html') and length(t.text) >= 50""",
     "crawl_two_rounds": f"""
         select distinct {_ID} as id, url, case when url in (select url from {{full_pages}}) then 'completed' else 'failed' end as status
         from (select e.url from {{edges}} e join {{seeds}} s on e.parent_url = s.url

@@ -58,7 +58,7 @@ def scan_robots(spark, sf_dir):
 
 def _contents(spark, sf_dir) -> DataFrame:
     pages = table(spark, sf_dir, "meta_x")
-    return content.extract_content(pages, OPTIONS, content.site_templates(pages, OPTIONS))
+    return content.extract_site_content(pages, OPTIONS)
 
 
 @query
@@ -557,6 +557,16 @@ def crawl_batch(spark, sf_dir):
     )
 
 
+@query
+def crawl_site_content(spark, sf_dir):
+    """Contents of a batch without what their sites repeat."""
+    templates = content.site_templates(table(spark, sf_dir, "pages"), OPTIONS)
+    batch = crawl.crawl_batch(
+        _tasks(spark, sf_dir), _rules(spark, sf_dir), table(spark, sf_dir, "fetches_x"), OPTIONS, templates
+    )
+    return batch.content.select("id", F.md5("text").alias("text_md5"))
+
+
 @query
 def crawl_two_rounds(spark, sf_dir):
     """Links of a first batch are stored as tasks, read back, and crawled in a second one."""

@@ -17,6 +17,8 @@ from webcorpus.plans.skew import lookup_join
 from webcorpus.plans.storage import stage
 
 _PAGE_MARK = b""
+#: Least share of a site's pages that makes a block a template: it bounds their number.
+MIN_TEMPLATE_SHARE = 0.01
 
 
 def with_blocks(pages: DataFrame) -> DataFrame:
@@ -51,12 +53,19 @@ def site_templates(pages: DataFrame, options: CrawlOptions, **join) -> DataFrame
     `template_share` of the pages of its host. A host therefore has at most
     (blocks per page / share) of them.
     """
+    return templates_of(with_blocks(pages.select("url", "html")), options, **join)
+
+
+def templates_of(pages: DataFrame, options: CrawlOptions, **join) -> DataFrame:
+    """`site_templates` of pages `(url, blocks)`. The lists of a host stay small because
+    `template_share` is bounded from below."""
+    if not MIN_TEMPLATE_SHARE <= options.template_share <= 1:
+        raise ValueError(f"template_share must be from {MIN_TEMPLATE_SHARE} to 1")
     keys = F.array_distinct(F.transform("blocks", block_key))
     none = F.array().cast("array<binary>")
     # every page also emits an empty key: its count is the page count of the host
     counted = (
-        with_blocks(pages.select("url", "html"))
-        .select(
+        pages.select(
             urls.host(F.col("url")).alias("host"),
             F.explode_outer(F.concat(F.array(F.lit(_PAGE_MARK)), F.coalesce(keys, none))).alias("key"),
         )
@@ -131,9 +140,22 @@ def with_content(
 ) -> DataFrame:
     """Adds `text` and the metadata to pages `(url, html, ...)`; `text` is NULL where it
     would have fewer than `min_content_chars` characters. The html column is dropped."""
+    return _with_text(_read(pages), options, templates, **join)
+
+
+_FIELDS = ["title", "language", "author", "date", "blocks"]
+
+
+def _read(pages: DataFrame) -> DataFrame:
+    """Pages with blocks and metadata in place of html."""
     rest = [c for c in pages.columns if c != "html"]
-    fields = ["title", "language", "author", "date", "blocks"]
-    read = with_metadata(with_blocks(pages)).select(*rest, *fields)
+    return with_metadata(with_blocks(pages)).select(*rest, *_FIELDS)
+
+
+def _with_text(
+    read: DataFrame, options: CrawlOptions, templates: DataFrame | None, **join
+) -> DataFrame:
+    rest = [c for c in read.columns if c not in _FIELDS]
     if templates is not None:
         read = without_templates(read, templates, **join)
     bare = F.array_join("blocks", "\n")
@@ -141,7 +163,7 @@ def with_content(
     shown = _with_header(F.col("__text")) if options.metadata_header else F.col("__text")
     read = read.withColumn("__shown", F.when(F.col("__text").isNotNull(), shown))
     enough = F.length("__shown") >= options.min_content_chars
-    return read.select(*rest, F.when(enough, F.col("__shown")).alias("text"), *fields[:-1])
+    return read.select(*rest, F.when(enough, F.col("__shown")).alias("text"), *_FIELDS[:-1])
 
 
 def extract_content(
@@ -151,3 +173,15 @@ def extract_content(
     usable = pages.where(~html.is_blank(F.col("html")))
     read = with_content(usable, options, templates, **join)
     return computed_once(read, "text").where(F.col("text").isNotNull())
+
+
+def extract_site_content(pages: DataFrame, options: CrawlOptions, **join) -> DataFrame:
+    """Content rows of all pages, without the templates their sites repeat.
+
+    Every page is read through once: its blocks and metadata are staged, and templates and
+    texts are both made from them.
+    """
+    read = stage(_read(pages.withColumn("__blank", html.is_blank(F.col("html")))), "page-blocks")
+    templates = templates_of(read.select("url", "blocks"), options, **join)
+    texts = _with_text(read.where(~F.col("__blank")).drop("__blank"), options, templates, **join)
+    return texts.where(F.col("text").isNotNull())

@@ -185,15 +185,15 @@ def frontier_expand(
         "link-graph",
     )
     seen = stage(known.select("url").union(seeds.select("url")).distinct(), "frontier-seen")
-    hop = seeds.select("url").distinct()
+    hop = stage(seeds.select("url").distinct(), "frontier-hop-0")
     grown: DataFrame | None = None
     for depth in range(1, options.max_depth + 1):
-        reached = edges.join(hop.select(F.col("url").alias("parent_url")), "parent_url").withColumn(
-            "depth", F.lit(depth)
-        )
-        admitted = frontier.admit_links(reached, seen).select(
-            "url", "priority", "depth", "parent_url"
-        )
+        parents = skew.small(hop.select(F.col("url").alias("parent_url")))
+        reached = edges.join(parents, "parent_url").withColumn("depth", F.lit(depth))
+        fresh = stage(frontier.unique_links(reached), f"frontier-reached-{depth}")
+        # the URLs known so far only meet those reached: few of them are broadcast
+        met = seen.join(skew.small(fresh.select("url")), "url", "left_semi").distinct()
+        admitted = fresh.join(met, "url", "left_anti").select("url", "priority", "depth", "parent_url")
         hop = stage(admitted, f"frontier-hop-{depth}")
         grown = hop if grown is None else grown.unionByName(hop)
         if hop.isEmpty():

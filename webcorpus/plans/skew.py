@@ -25,6 +25,11 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("n")).first()["n"]
 
 
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The same rows, marked for a broadcast if they measure small."""
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
+
+
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with at least `hot_rows` rows and the number of groups each is split into.
 
