@@ -31,16 +31,18 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least `hot_rows` rows and the number of groups each is split into.
+    """Hashes of the keys with at least `hot_rows` rows, and the number of groups each is
+    split into.
 
-    There are at most rows / hot_rows of them, so the result can be broadcast.
+    There are at most rows / hot_rows of them, of 12 bytes each whatever the keys are, so
+    the result can be broadcast. Keys of one hash are split alike on both sides.
     """
     return (
         df.where(F.col(key).isNotNull())
-        .groupBy(key)
+        .groupBy(F.xxhash64(key).alias("__hash"))
         .agg(F.count(F.lit(1)).alias("__rows"))
         .where(F.col("__rows") >= hot_rows)
-        .select(key, F.ceil(F.col("__rows") / hot_rows).cast("int").alias("__groups"))
+        .select("__hash", F.ceil(F.col("__rows") / hot_rows).cast("int").alias("__groups"))
     )
 
 
@@ -59,12 +61,14 @@ def salted_join(
     salt = F.pmod(
         F.xxhash64(*spread), F.when(F.col(key).isNull(), NULL_GROUPS).otherwise(groups)
     ).cast("int")
-    salted_left = left.join(hot, key, "left").withColumn("__salt", salt).drop("__groups")
-    salted_right = (
-        right.join(hot, key, "left")
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), groups - 1)))
-        .drop("__groups")
+    marked_left, marked_right = (
+        side.withColumn("__hash", F.xxhash64(key)).join(hot, "__hash", "left").drop("__hash")
+        for side in (left, right)
     )
+    salted_left = marked_left.withColumn("__salt", salt).drop("__groups")
+    salted_right = marked_right.withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), groups - 1))
+    ).drop("__groups")
     return salted_left.join(salted_right, [key, "__salt"], how).drop("__salt")
 
 
