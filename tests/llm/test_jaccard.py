@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from webcorpus.llm import components, jaccard, words
+from webcorpus.llm import components, jaccard
 
 
 def brute(docs):

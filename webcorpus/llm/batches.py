@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one column that are read before the texts; a text has no upper bound.
+# the column of text bytes
 _TEXT = "__text"
 
 

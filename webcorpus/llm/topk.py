@@ -9,7 +9,6 @@ lists are merged by rank.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
