@@ -12,7 +12,6 @@ hold none, are left out.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from webcorpus.llm import words
 from webcorpus.llm.batches import text_bytes
@@ -264,6 +262,7 @@ def find_passages(
     keep: list[str],
     window: int = WINDOW,
     pass_bytes: int = PASS_BYTES,
+    cut: bool = False,
 ) -> DataFrame:
     """Per row of `docs` `(row, text, n_words, n_hit, spans, items)`.
 
@@ -271,7 +270,7 @@ def find_passages(
     ranges that occurrences cover, `items` the sorted ids of the items that occur. NULL and
     empty texts have no words; repeated rows stay. The benchmark is searched for in blocks
     of about `pass_bytes` (or one item), one pass over the documents each, so what is
-    broadcast has that bound.
+    broadcast has that bound. With `cut` the spans are cut out of `text` in the last pass.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text")
@@ -288,10 +287,10 @@ def find_passages(
         rows = [(r.item_id, r.text) for r in items.where(block == b).toLocalIterator()]
         shared = spark.sparkContext.broadcast(phrases(rows, window))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, cut=cut and b == blocks - 1) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    yield from _with_hits(batch, shared.value)
+                    yield from _with_hits(batch, shared.value, cut)
 
         current = current.mapInArrow(run, schema)
         if blocks > 1:
@@ -299,8 +298,8 @@ def find_passages(
     return current.select("row", "text", "hits.*")
 
 
-def _with_hits(batch: pa.RecordBatch, sought: Phrases) -> Iterator[pa.RecordBatch]:
-    """Adds what a pass finds to the hits of earlier passes."""
+def _with_hits(batch: pa.RecordBatch, sought: Phrases, cut: bool) -> Iterator[pa.RecordBatch]:
+    """Adds what a pass finds to the hits of earlier passes; cuts them out if asked to."""
     for low, high, found in _search_batch(batch.column(1), sought):
         part = batch.slice(low, high - low)
         rows = []
@@ -311,7 +310,16 @@ def _with_hits(batch: pa.RecordBatch, sought: Phrases) -> Iterator[pa.RecordBatc
                 hit = _words_inside(part.column(1)[i].as_py(), spans)
             rows.append({"n_words": n, "n_hit": hit, "spans": spans, "items": names})
         hits = pa.array(rows, batch.schema.field(2).type)
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), hits], schema=batch.schema)
+        texts = part.column(1)
+        if cut and any(r["spans"] for r in rows):
+            pairs = zip(texts.to_pylist(), rows, strict=True)
+            texts = pa.array([_without_spans(t, r["spans"]) if r["spans"] else t for t, r in pairs], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column(0), texts, hits], schema=batch.schema)
+
+
+def _without_spans(text: bytes, spans: list[list[int]]) -> bytes:
+    ends, starts = [0, *(e for _, e in spans)], [*(s for s, _ in spans), len(text)]
+    return b"".join(text[a:b] for a, b in zip(ends, starts, strict=True))
 
 
 def _words_inside(text: bytes, spans: list[list[int]]) -> int:
@@ -322,20 +330,10 @@ def _words_inside(text: bytes, spans: list[list[int]]) -> int:
 def without_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs`, with the hit spans cut out of `text`; other texts are unchanged."""
     others = [c for c in docs.columns if c != "text"]
-    found = find_passages(docs, benchmark, others, window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ends = [0, *(e for _, e in spans)]
-                starts = [*(s for s, _ in spans), len(text)]
-                cut.append(b"".join(text[a:b] for a, b in zip(ends, starts, strict=True)).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.string())], names=["row", "text"])
-
-    schema = T.StructType([found.schema["row"], T.StructField("text", T.StringType())])
-    cut = found.select("row", "text", "spans").mapInArrow(run, schema)
-    return cut.select(*[(F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    found = find_passages(docs, benchmark, others, window, cut=True)
+    return found.select(
+        *[(F.col("text").cast("string") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    )
 
 
 def op4_decontamination(spark, sf_dir):

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -234,13 +235,18 @@ def score(docs: DataFrame, network: Network, keep: list[str], name: str = "score
     NULL and empty texts get the score of one chunk of padding."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
-    def run(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-        parts = [score_texts(shared.value, data, offsets) for _, _, data, offsets in words.steps(texts)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts), pa.float64())], names=["row", name])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # a text that is kept is not sent twice
+            texts = pc.struct_field(batch.column(0), column) if column in keep else batch.column(1)
+            for low, high, data, offsets in words.steps(pc.fill_null(texts.cast(pa.binary()), b"")) if batch.num_rows else ():
+                scores = pa.array(score_texts(shared.value, data, offsets), pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), scores], names=["row", name])
 
-    kept = docs.select(F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(column).alias("text"))
+    row = F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in keep]).alias("row")
+    kept = docs.select(row) if column in keep else docs.select(row, F.col(column).cast("binary").alias("__text"))
     schema = T.StructType([kept.schema["row"], T.StructField(name, T.DoubleType())])
-    return map_texts(kept, [F.col("row")], run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def remainder(column: Column, parts: int) -> Column:
