@@ -26,7 +26,7 @@ from webcorpus.llm import words
 from webcorpus.llm.batches import map_texts
 
 #: Entries of one generation of a memory; two generations are held.
-REMEMBERED = 70_000
+REMEMBERED = 50_000
 
 
 class Remembered(dict):

@@ -26,7 +26,7 @@ from webcorpus.plans.storage import stage
 
 WINDOW = 10
 #: Bytes of text in a shard (or one text), and index symbols built at once (or one string).
-SHARD_BYTES, SHARD_SYMBOLS = 8 << 20, 1 << 20
+SHARD_BYTES, SHARD_SYMBOLS = 3 << 20, 1 << 19
 #: Bytes of benchmark texts searched for in one pass over the documents.
 PASS_BYTES = 16 << 20
 _SAMPLE = 8
