@@ -72,6 +72,8 @@ KEY = lambda r: tuple((x is None, x or 0) for x in r)
 def test_same_as_brute_force(spark, monkeypatch, seed, often, broadcast):
     monkeypatch.setattr(jaccard, "OFTEN", often)
     monkeypatch.setattr(jaccard, "SAMPLED", 2)
+    monkeypatch.setattr(jaccard, "HEAVY", 5 if often == 1 else 64)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast)
     docs = made(seed)
     assert sorted(got(spark, docs), key=KEY) == sorted(brute(docs), key=KEY)

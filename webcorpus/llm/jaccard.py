@@ -2,8 +2,8 @@
 
 A document is its set of distinct 5-word shingles, as 64-bit hashes. Equal sets are one node.
 Two sets that are 75 % alike share one of the first quarter of their shingles in any fixed
-order, so these make the tiles: a tile is a shingle and a band of set sizes, and only
-sets of the same or the next band are compared. A bitmap of hashed shingles, at least two
+order, so these make the tiles: sets meet where such a shingle is the same, and only
+those of the same or the next band of sizes are compared. A bitmap of hashed shingles, at least two
 bits each, bounds the overlap of a pair from above by the bits that differ; what passes
 is settled by intersecting sorted arrays.
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webcorpus.llm import words
@@ -31,6 +31,10 @@ SHINGLE = 5
 PERCENT = 75
 #: Sets of a tile that are paired at once; more are linked to leaders first.
 SMALL_TILE = 4
+#: Sets of a tile from which on it is compared as part of a family.
+HEAVY = 64
+#: Sets of a block in which bitmaps are compared.
+BLOCK = 1024
 #: One text in so many is looked at for frequent shingles, which at least `OFTEN` of them
 #: have; so many shingles at most go last in the order.
 SAMPLED, OFTEN, FREQUENT = 64, 3, 200_000
@@ -239,33 +243,123 @@ def _leader_pairs(tiles: DataFrame) -> DataFrame:
     return met.where((F.col("node") != F.col("lead")) & _sizes_allow("size", "lead_size")).select(*_pair("node", "lead"))
 
 
-def _open_pairs(tiles: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of a tile's sets that are in different groups so far.
+def _open_pairs(tiles: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of sets in different groups that meet in a tile and pass the bitmap bound.
 
-    The largest group of a tile is never paired with itself: one side of every pair is a
-    set outside of it.
+    A tile of fewer than `HEAVY` sets makes its pairs, at most so many for each of its rows.
+    Sets that share many shingles meet in many heavy tiles: heavy tiles that hang together
+    are one family, and each pair of a family is compared once, block by block.
     """
-    rows = stage(
-        tiles.join(groups.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node")),
-        "tile-groups",
+    rows = tiles.join(groups.withColumnRenamed("root", "group"), "node", "left")
+    rows = stage(rows.withColumn("group", F.coalesce("group", "node")), "tile-groups")
+    several = rows.groupBy("key").agg(
+        F.min("group").alias("g0"), F.max("group").alias("g1"), F.min("node").alias("head"), F.count(F.lit(1)).alias("n")
     )
-    counts = rows.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("n", "group")).alias("top"), F.count(F.lit(1)).alias("groups"))
-    largest = stage(largest.where("groups > 1").select("key", F.col("top.group").alias("top")), "tile-tops")
-    rows = stage(rows.join(largest, "key"), "tiles-open")
-    outside = rows.where(F.col("group") != F.col("top")).select(
-        "key", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"),
-        F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("group").alias("x_group"),
+    several = stage(several.where("g0 <> g1").select("key", "head", (F.col("n") >= HEAVY).alias("heavy")), "tile-heads")
+    rows = stage(rows.join(several, "key"), "tiles-open")
+    light = rows.where("NOT heavy").select("key", "node", "size", "group")
+    other = light.select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "group")])
+    met = light.join(other, "key").where(
+        (F.col("node") < F.col("y_node")) & (F.col("group") != F.col("y_group")) & _sizes_allow("size", "y_size")
     )
-    met = outside.join(
-        rows.select("key", "band", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("group").alias("y_group"), "top"),
-        ["key", "band"],
-    ).where(
-        (F.col("x_group") != F.col("y_group"))
-        & ((F.col("y_group") == F.col("top")) | (F.col("x") < F.col("y")))
-        & _sizes_allow("x_size", "y_size")
+    few = _bounded(met.select(F.col("node").alias("a"), F.col("y_node").alias("b")).distinct(), nodes)
+    return few.union(_family_pairs(rows.where("heavy").select("node", "group", "head").distinct(), nodes))
+
+
+def _family_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of different groups inside families `(node, group, head)` of sets that share a
+    head: bands of set sizes are cut into blocks, and a block meets its own band and the
+    next one."""
+    rows = stage(rows, "family-heads")
+    families = components(rows.select(F.col("node").alias("a"), F.col("head").alias("b"))).select(
+        "node", F.col("root").alias("family")
+    )
+    members = rows.select("node", "group").distinct().join(families, "node").join(nodes, "node")
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
+    members = stage(members.select("family", "group", "node", "size", "bitmap", band.alias("band")), "family-members")
+    blocks = members.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = stage(blocks, "family-blocks")
+    next_blocks = blocks.select("family", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    last_blocks = blocks.select("family", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    sized = blocks.join(next_blocks, ["family", "band"], "left").join(last_blocks, ["family", "band"], "left")
+    dealt_rows = members.join(sized, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+    def met(lower: Column, mine: str, theirs: Column, is_left: Column) -> Column:
+        """Units of work: (band, block of it, block of the same or the next band, which)."""
+        return F.transform(
+            theirs,
+            lambda j: F.struct(
+                lower.alias("band"), F.when(is_left, F.col(mine)).otherwise(j).alias("i"),
+                F.when(is_left, j).otherwise(F.col(mine)).alias("j"),
+            ),
+        )
+
+    to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    yes, no = F.lit(True), F.lit(False)
+    none = F.lit(0)
+    own = F.col("band")
+    # inside a band a pair of blocks is met once, i <= j
+    same_left = F.filter(to(F.col("blocks")), lambda j: j >= F.col("block"))
+    same_right = F.filter(to(F.col("blocks")), lambda j: j < F.col("block"))
+    units = F.concat(
+        F.transform(met(own, "block", same_left, yes), lambda u: F.struct(u.alias("u"), none.alias("step"), F.lit(0).alias("side"))),
+        F.transform(met(own, "block", same_right, no), lambda u: F.struct(u.alias("u"), none.alias("step"), F.lit(1).alias("side"))),
+        F.transform(met(own, "block", to(F.coalesce("above", none)), yes), lambda u: F.struct(u.alias("u"), F.lit(1).alias("step"), F.lit(0).alias("side"))),
+        F.transform(met(own - 1, "block", to(F.coalesce("below", none)), no), lambda u: F.struct(u.alias("u"), F.lit(1).alias("step"), F.lit(1).alias("side"))),
+    )
+    each = dealt_rows.select("family", "group", "node", "size", "bitmap", F.explode(units).alias("m"))
+    each = each.select(
+        F.xxhash64("family", "m.u.band", "m.u.i", "m.u.j", "m.step").alias("unit"),
+        (F.col("m.u.i") == F.col("m.u.j")).alias("alike"), F.col("m.step").alias("step"), F.col("m.side").alias("side"),
+        "group", "node", "size", "bitmap",
     )
-    return met.select(*_pair("x", "y"))
+    return each.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare_units, "a long, b long")
+
+
+def _folded(bitmaps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, folded to `size` bytes."""
+    out = np.empty((len(bitmaps), size // 8), dtype=np.uint64)
+    for i, b in enumerate(bitmaps):
+        whole = np.frombuffer(b, dtype=np.uint64)
+        out[i] = np.bitwise_xor.reduce(whole.reshape(-1, size // 8), axis=0)
+    return out
+
+
+def _compare_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by unit; a unit is two blocks, or one block with itself."""
+    unit, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["unit"] != unit and held:
+                yield _compared(held)
+                held = []
+            unit = row["unit"]
+            held.append(row)
+    if held:
+        yield _compared(held)
+
+
+def _compared(rows: list[dict]) -> pa.RecordBatch:
+    inside = rows[0]["alike"] and rows[0]["step"] == 0
+    left = [r for r in rows if r["side"] == 0]
+    right = left if inside else [r for r in rows if r["side"] == 1]
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if left and right:
+        width = min(len(r["bitmap"]) for r in rows)
+        x, y = _folded([r["bitmap"] for r in left], width), _folded([r["bitmap"] for r in right], width)
+        column = lambda side, n: np.array([r[n] for r in side], dtype=np.int64)
+        y_size, y_group, y_node = (column(right, n) for n in ("size", "group", "node"))
+        for i, r in enumerate(left):
+            apart = np.bitwise_count(x[i] ^ y).sum(axis=1).astype(np.int64)
+            both = r["size"] + y_size
+            bound = (both - apart) // 2
+            good = (100 * bound >= PERCENT * (both - bound)) & (y_group != r["group"])
+            if inside:
+                good[: i + 1] = False
+            found = y_node[good]
+            a.append(np.minimum(found, r["node"]))
+            b.append(np.maximum(found, r["node"]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
 def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,12 +389,16 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, column: str) -> DataFrame:
-    """The candidate pairs `(a, b)` that are linked."""
+def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose bitmaps allow a link."""
     for side in ("a", "b"):
         own = nodes.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("bitmap").alias(f"{side}_map"))
         pairs = pairs.join(own, side)
-    bounded = pairs.select("a", "b", "a_size", "b_size", "a_map", "b_map").mapInArrow(_within_bound, "a long, b long")
+    return pairs.select("a", "b", "a_size", "b_size", "a_map", "b_map").mapInArrow(_within_bound, "a long, b long")
+
+
+def _links(bounded: DataFrame, nodes: DataFrame, docs: DataFrame, column: str) -> DataFrame:
+    """The candidate pairs `(a, b)` that are linked."""
     bounded = stage(bounded, "pairs-bounded")
     needed = bounded.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
     needed = stage(needed.select("node", "first.*"), "pair-nodes")
@@ -349,9 +447,8 @@ def groups(docs: DataFrame, column: str = "text") -> DataFrame:
     first = stage(
         met.where("key IS NULL").select("a", "b").union(_leader_pairs(tiles)).distinct(), "pairs-first"
     )
-    links = _links(first, nodes, docs, column)
-    later = _open_pairs(tiles, components(links)).distinct().join(first, ["a", "b"], "left_anti")
-    later = stage(later, "pairs-later")
+    links = _links(_bounded(first, nodes), nodes, docs, column)
+    later = _open_pairs(tiles, stage(components(links), "groups-first"), nodes)
     links = links.union(_links(later, nodes, docs, column))
     roots = stage(
         nodes.select("node", F.col("first").alias("own")).join(components(links), "node", "left")
