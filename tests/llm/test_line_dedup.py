@@ -104,6 +104,18 @@ def test_common_lines_still_find_copies(spark, monkeypatch):
     assert got[3].kept == "own line 3"
 
 
+def test_common_passages_go_beside_rare_lines(spark):
+    passage = lambda k: "\n".join(f"passage {k} line {i} that many documents hold" for i in range(3))
+    docs = [(i, passage(i % 5) + f"\nown line {i}") for i in range(600)]
+    docs += [(600, "a rare line in two documents, long enough"), (601, "a rare line in two documents, long enough\n" + passage(0))]
+    docs += [(602, "\n".join(passage(k) for k in range(5)) + "\nown line 602")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.row.doc_id: r for r in ld.without_repeated_lines(df, ["doc_id"]).collect()}
+    assert got[601].n_removed == got[601].n_lines == 4
+    assert got[602].n_removed == 15 and got[602].kept == "own line 602"
+    assert sum(r.n_removed for r in got.values()) == 595 * 3 + 4 + 15
+
+
 def test_lines_of_a_batch():
     texts = [b"a\n\n b \r\n\nb", b"", b"\n", b"a", b"a", " é\n".encode()]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])

@@ -1,6 +1,6 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found through rare lines they share: each document meets the
+Documents that overlap are found through all lines they share: each document meets the
 first document that has the line, never all others that do, so a line in a third of all
 documents makes one pair for each of them. A pair is aligned by patience diff: lines that
 stand once on either side and keep their order are fixed points, and between them lines
@@ -27,13 +27,11 @@ from webcorpus.llm import words
 from webcorpus.llm.batches import map_texts
 from webcorpus.plans.storage import stage
 
-#: Documents that share a rare line at most.
-RARE = 100
-#: A document without rare shared lines is paired by this many of its rarest ones.
-RAREST = 3
+_LAST = (1 << 63) - 1
+#: No line is too common to pair documents; the tests read this limit, the code has none.
+RARE = _LAST
 #: Bytes of text in the lines of a block that is deleted.
 BLOCK_BYTES = 40
-_LAST = (1 << 63) - 1
 
 
 def _row_key(column: str) -> list[Column]:
@@ -141,21 +139,14 @@ def line_table(docs: DataFrame, column: str = "text") -> DataFrame:
 
 def overlapping(lines: DataFrame) -> DataFrame:
     """Pairs of documents `(doc, tag, first)`: `first` is an earlier one (doc, tag) that is
-    the first to have a shared line.
-
-    Shared lines are used while at most `RARE` documents have them; documents that share
-    only commoner lines use their `RAREST` rarest.
-    """
+    the first to have a shared line, however many documents have it."""
     each = lines.select("doc", "tag", F.explode(F.array_distinct("lines")).alias("line"))
     shared = stage(
         each.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tag")).alias("first")).where("n > 1"),
         "shared-lines",
     )
     met = each.join(shared, "line").where(F.struct("doc", "tag") != F.col("first"))
-    own = met.groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct("n", "line", "first"))).alias("shared"))
-    rare = F.filter("shared", lambda s: s["n"] <= RARE)
-    used = F.when(F.size(rare) > 0, rare).otherwise(F.slice("shared", 1, RAREST))
-    return own.select("doc", "tag", F.explode(F.array_distinct(used["first"])).alias("first"))
+    return met.select("doc", "tag", "first").distinct()
 
 
 def repeated_blocks(docs: DataFrame, column: str = "text", least: int = BLOCK_BYTES) -> DataFrame:
