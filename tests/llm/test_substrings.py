@@ -61,6 +61,18 @@ def test_equal_windows_choose_equal_seeds():
         assert least[p] == min(inside) and place[p] == p + inside.index(min(inside))
 
 
+def test_windows_are_told_apart_by_64_bits():
+    import numpy as np
+
+    base = 0x0123456789ABCDEF
+    whole = np.array([base] + [base ^ (1 << bit) for bit in range(64)] + [base], dtype=np.uint64)
+    n = len(whole)
+    fields = [np.arange(n), np.zeros(n, np.uint64), whole, np.arange(n), np.zeros(n, np.int64)]
+    sent = substrings._packed(fields, np.arange(n), np.zeros(n, np.uint32), 1, [])
+    found = substrings._settled([row for row in sent.to_pylist() if row["docs"] is not None])
+    assert found.column("doc").to_pylist() == [n - 1]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.without_repeats(df, ["doc_id"]).count() == 0

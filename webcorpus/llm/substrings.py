@@ -64,13 +64,13 @@ def _row_key(column: str) -> list[F.Column]:
 
 _SENT = T.StructType(
     [T.StructField("bucket", T.IntegerType())]
-    # of texts: id, tag; of seeds: text, first window, windows, hash; of windows: hash
-    + [T.StructField(n, T.BinaryType()) for n in ("docs", "tags", "text", "start", "count", "seed", "high", "low")]
+    # of texts: id, tag; of seeds: text, first window, windows; of windows: 64-bit hash
+    + [T.StructField(n, T.BinaryType()) for n in ("docs", "tags", "text", "start", "count", "whole")]
     # repeats that the shard has settled itself
     + [T.StructField("repeats", T.ArrayType(T.StructType([
         T.StructField("doc", T.LongType()), T.StructField("tag", T.LongType()), T.StructField("runs", T.BinaryType())])))]
 )
-_TYPES = {"docs": np.int64, "tags": np.uint32, "text": np.uint16, "start": np.uint32, "count": np.uint8, "seed": np.uint64, "high": np.uint32, "low": np.uint8}
+_TYPES = {"docs": np.int64, "tags": np.uint32, "text": np.uint16, "start": np.uint32, "count": np.uint8, "whole": np.uint64}
 
 
 def _runs_by_text(doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> list[dict]:
@@ -136,7 +136,7 @@ def _packed(windows: list[np.ndarray], docs: np.ndarray, tags: np.ndarray, bucke
     bucket = (windows[1] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    place, seed_hash, whole, text, start = (w[order] for w in windows)
+    place, _, whole, text, start = (w[order] for w in windows)
     new = np.ones(len(place), dtype=bool)
     new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
@@ -150,8 +150,7 @@ def _packed(windows: list[np.ndarray], docs: np.ndarray, tags: np.ndarray, bucke
         names, which = np.unique(text[s], return_inverse=True)
         values = {
             "docs": docs[names], "tags": tags[names], "text": which, "start": start[s],
-            "count": count[seed_edges[i] : seed_edges[i + 1]], "seed": seed_hash[s],
-            "high": whole[w] >> np.uint64(32), "low": whole[w] & np.uint64(0xFF),
+            "count": count[seed_edges[i] : seed_edges[i + 1]], "whole": whole[w],
         }
         rows["bucket"].append(b)
         rows["repeats"].append([])
@@ -189,7 +188,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _settled(rows: list[dict]) -> pa.RecordBatch:
     found: list[dict] = []
     if rows:
-        parts: dict[str, list[np.ndarray]] = {n: [] for n in ("doc", "tag", "start", "seed", "high", "low")}
+        parts: dict[str, list[np.ndarray]] = {n: [] for n in ("doc", "tag", "start", "whole")}
         for row in rows:
             values = {n: np.frombuffer(row[n], dtype=kind) for n, kind in _TYPES.items()}
             count = values["count"].astype(np.int64)
@@ -198,13 +197,11 @@ def _settled(rows: list[dict]) -> pa.RecordBatch:
             parts["doc"].append(values["docs"][text])
             parts["tag"].append(values["tags"][text])
             parts["start"].append(values["start"][each] + (np.arange(len(each)) - (np.cumsum(count) - count)[each]).astype(np.uint32))
-            parts["seed"].append(values["seed"][each])
-            parts["high"].append(values["high"])
-            parts["low"].append(values["low"])
+            parts["whole"].append(values["whole"])
         rows.clear()
         joined = {n: np.concatenate(v) for n, v in parts.items()}
         del parts
-        again = _repeated([joined["high"], joined["low"], joined["seed"]], joined["doc"], joined["start"])
+        again = _repeated([joined["whole"]], joined["doc"], joined["start"])
         found = _runs_by_text(joined["doc"][again], joined["tag"][again], joined["start"][again])
     return pa.RecordBatch.from_pylist(found, _RUNS)
 
