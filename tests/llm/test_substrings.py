@@ -73,6 +73,33 @@ def test_windows_are_told_apart_by_64_bits():
     assert found.column("doc").to_pylist() == [n - 1]
 
 
+def test_windows_of_a_common_phrase_are_spread(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(substrings, "HOT_WINDOWS", 100, raising=False)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 300)
+    rng = random.Random(3)
+    long = lambda n: " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(n))
+
+    def least(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return min(words.run_hashes(words.split(data, np.array([0, len(data)])).hashes(), 8).tolist())
+
+    phrase = min((long(12) for _ in range(3000)), key=least)
+    docs = [(i, f"{long(8)} {phrase} {long(8)}") for i in range(100)]
+    docs += [(i + 100, t) for i, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = substrings.repeats(df).withColumn("task", F.spark_partition_id()).collect()
+    tasks = {}
+    for r in found:
+        tasks[r.task] = tasks.get(r.task, 0) + int(np.frombuffer(r.runs, np.uint32)[1::2].sum())
+    # some copies may meet in their shard
+    assert sum(tasks.values()) == 900 and max(tasks.values()) < 450
+    got = [(r.row.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substrings.without_repeats(df, ["doc_id"]).collect()]
+    assert sorted(got) == sorted(brute(docs))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.without_repeats(df, ["doc_id"]).count() == 0

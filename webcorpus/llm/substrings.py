@@ -8,7 +8,9 @@ place has as well are repeats. Repeats that overlap join to maximal ones.
 
 A group of a thousand copies is never paired. Each shard of texts settles its own repeats
 first and sends only the first place of a window, so a passage that a third of all texts
-share reaches its bucket once per shard.
+share reaches its bucket once per shard. A phrase shorter than a window, with other words
+around it each time, makes as many windows as it has places: windows of such a seed are
+dealt by their own hash.
 """
 
 from __future__ import annotations
@@ -29,7 +31,10 @@ WINDOW, SEED = 20, 8
 SHARD_BYTES = 6 << 20
 #: Bytes of text per bucket of seeds.
 BUCKET_BYTES = 8 << 20
+#: Windows of one seed that may go to one bucket.
+HOT_WINDOWS = 1 << 18
 _LAST = (1 << 63) - 1
+_NONE = np.empty(0, dtype=np.uint64)
 
 
 def sliding_minimum(values: np.ndarray, size: int) -> np.ndarray:
@@ -105,7 +110,40 @@ def _repeated(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> np.
     return out
 
 
-def _send(buckets: int, window: int, seed: int):
+def _hot_seeds(docs: DataFrame, column: str, window: int, seed: int, total: int) -> np.ndarray:
+    """Hashes of all seeds with `HOT_WINDOWS` windows or more, sorted; some with half as many
+    may be among them.
+
+    A shard counts its seeds and reports those with more than its share, by bytes, of half
+    that number, so what is not reported of a seed stays below that half.
+    """
+    half = HOT_WINDOWS / 2
+
+    def run(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        for _, _, data, offsets in words.steps(texts, SHARD_BYTES):
+            found = words.split(data, offsets)
+            if len(found.starts) < window:
+                continue
+            row = found.rows()
+            least = seeds(found.hashes(), window, seed)[1]
+            least = np.sort(least[row[: len(least)] == row[window - 1 :]])
+            new = np.ones(len(least), dtype=bool)
+            new[1:] = least[1:] != least[:-1]
+            at = np.flatnonzero(new)
+            count = np.diff(np.append(at, len(least)))
+            many = count >= half * len(data) / total
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(least[at[many]].view(np.int64)), pa.array(count[many], pa.int64())], names=["seed", "n"]
+            )
+
+    if not total:
+        return _NONE
+    counted = map_texts(docs, [], run, "seed long, n long", column).groupBy("seed").agg(F.sum("n").alias("n"))
+    hot = [r.seed for r in counted.where(F.col("n") >= half).select("seed").collect()]
+    return np.sort(np.array(hot, dtype=np.int64).view(np.uint64))
+
+
+def _send(buckets: int, window: int, seed: int, hot: np.ndarray):
     def run(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[pa.RecordBatch]:
         docs = np.asarray(batch.column(0), dtype=np.int64)
         tags = np.asarray(batch.column(1), dtype=np.int64).astype(np.uint32)
@@ -125,20 +163,25 @@ def _send(buckets: int, window: int, seed: int):
             keep = np.flatnonzero(~again)
             yield _packed(
                 [v[keep] for v in (place, seed_hash, whole, text, start)],
-                docs[low:high], tags[low:high], buckets, repeats,
+                docs[low:high], tags[low:high], buckets, repeats, hot,
             )
 
     return run
 
 
-def _packed(windows: list[np.ndarray], docs: np.ndarray, tags: np.ndarray, buckets: int, repeats: list[dict]) -> pa.RecordBatch:
-    """Seeds with their windows, one row per bucket."""
-    bucket = (windows[1] % np.uint64(buckets)).astype(np.int64)
+def _packed(windows: list[np.ndarray], docs: np.ndarray, tags: np.ndarray, buckets: int, repeats: list[dict], hot: np.ndarray = _NONE) -> pa.RecordBatch:
+    """Seeds with their windows, one row per bucket. Windows of `hot` seeds are dealt by their
+    own hash, others by that of the seed."""
+    key = windows[1]
+    if len(hot):
+        common = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        key = np.where(common, windows[2], key)
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     place, _, whole, text, start = (w[order] for w in windows)
     new = np.ones(len(place), dtype=bool)
-    new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | (text[1:] != text[:-1])
+    new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | (text[1:] != text[:-1]) | (bucket[1:] != bucket[:-1])
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(place)))
     used, first = np.unique(bucket, return_index=True)
@@ -216,7 +259,7 @@ def repeats(docs: DataFrame, column: str = "text", window: int = WINDOW, seed: i
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    sent = map_texts(docs, _row_key(column), _send(buckets, window, seed), _SENT, column)
+    sent = map_texts(docs, _row_key(column), _send(buckets, window, seed, _hot_seeds(docs, column, window, seed, total)), _SENT, column)
     return (
         sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
         .mapInArrow(_settle, "doc long, tag long, runs binary")
