@@ -43,3 +43,16 @@ def test_query(spark):
     got = topk.op5_topk(spark, folder)
     assert sorted(map(tuple, got.collect())) == want
     assert [f.dataType.simpleString() for f in got.schema] == ["bigint", "int", "bigint", "bigint"]
+
+
+def test_rows_that_share_an_id(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 1, 2, 3, 20, 21, 40]), [rng.choice([0.0, 0.5, -0.25, 1.0]) for _ in range(4)]) for _ in range(90)]
+    rows += [(20, [9.0] * 4)] * 40 + [(i, [0.1, 0.2, 0.3, 0.4]) for i in range(50, 60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(db.execute(topk.OP5_SQL).fetchall())
+    assert sorted(map(tuple, topk.op5_topk(spark, str(tmp_path)).collect())) == want

@@ -43,13 +43,10 @@ def weights(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """`(vec_id, weights)` of the vectors that take part.
 
     Vectors that are NULL or hold NULL or non-finite components, and rows without `vec_id`,
-    take no part. `vec_id` names a vector: of rows that share it the smallest weights stay.
+    take no part. Rows that share a `vec_id` all stay.
     """
-    return (
-        vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-        .select("vec_id", scaled_floor(F.col("embedding"), scale).alias("weights"))
-        .groupBy("vec_id")
-        .agg(F.min("weights").alias("weights"))
+    return vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
+        "vec_id", scaled_floor(F.col("embedding"), scale).alias("weights")
     )
 
 
@@ -77,7 +74,8 @@ def _cell(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     for t in range(terms):
         at = np.flatnonzero(held[:, t])
         postings.append((at if len(at) < len(ids) else slice(None), held[at, t].astype(kind)[:, None]))
-    best = min(k + 1, len(ids))  # one more, as a query may meet itself
+    # more than k, as a query may meet the rows of its own id
+    best = min(k + int(np.unique(ids, return_counts=True)[1].max(initial=0)), len(ids))
     for low in range(0, len(asked) if len(ids) else 0, _ROWS):
         block, own = rows[low : low + _ROWS].astype(kind), asked[low : low + _ROWS]
         scores = np.zeros((len(ids), len(own)), dtype=kind)
@@ -100,17 +98,18 @@ def _cell(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, blocks: tuple[int, int] = (CANDIDATES, QUERIES)) -> DataFrame:
     """`(query_id, rank, vec_id, score)`: the k best candidates of each query by inner product.
 
-    Both tables are `(vec_id, weights)` with unique ids. A query never meets its own id.
-    Ties go to the smaller `vec_id`; a query without candidates has no rows.
+    Both tables are `(vec_id, weights)`. Every row with another id is a candidate, also of
+    rows that share an id; queries that share one have k rows together. A query never meets
+    its own id. Ties go to the smaller `vec_id`; a query without candidates has no rows.
     """
     n = max(FEWEST, -(-candidates.count() // blocks[0]))
     m = max(1, -(-queries.count() // blocks[1]))
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = candidates.select(
-        F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("c"), each(m).alias("q"), "vec_id", "weights"
+        F.pmod(F.xxhash64("vec_id", "weights"), F.lit(n)).cast("int").alias("c"), each(m).alias("q"), "vec_id", "weights"
     )
     right = queries.select(
-        each(n).alias("c"), F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int").alias("q"), "vec_id", "weights"
+        each(n).alias("c"), F.pmod(F.xxhash64("vec_id", "weights"), F.lit(m)).cast("int").alias("q"), "vec_id", "weights"
     )
 
     def cell(held: pa.Table, asked: pa.Table) -> pa.Table:
