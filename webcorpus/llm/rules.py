@@ -150,10 +150,14 @@ WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
   FROM documents
+), tokens AS (
+  SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM docs
 ), starts AS (
-  SELECT rid, unnest(range(1, len(words) - 6)) AS i, words FROM docs WHERE len(words) >= 8
+  SELECT rid, i, w, lead(w, 1) OVER q AS w1, lead(w, 2) OVER q AS w2, lead(w, 3) OVER q AS w3, lead(w, 4) OVER q AS w4,
+         lead(w, 5) OVER q AS w5, lead(w, 6) OVER q AS w6, lead(w, 7) OVER q AS w7
+  FROM tokens WINDOW q AS (PARTITION BY rid ORDER BY i)
 ), windows AS (
-  SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i:i + 7]) AS n FROM starts
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, w, w1, w2, w3, w4, w5, w6, w7) AS n FROM starts WHERE w7 IS NOT NULL
 ), gaps AS (
   SELECT rid, least(8, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 8)) AS fresh FROM windows WHERE n > 1
 ), repeats AS (
