@@ -113,6 +113,22 @@ STATEMENTS: dict[str, str] = {
         select page_id, url, replace(replace(html, '<article>', '<div id="comments"><div>first</div><div><div>second</div></div></div><article>'),
           '<nav>', '<nav class="a"><ul><li><nav>inner<nav>most</nav></nav></li></ul>rest</nav><nav>') as html
         from {pages}""",
+    "deep_x": """
+        select page_id, url, replace(html, '<article>', '<div id="comments">' || repeat('<div>a<div>b</div>', 120) || repeat('</div>', 120)
+          || 'c</div><article>') as html from {pages}""",
+    "menus_x": """
+        select page_id, 'https://p' || cast(page_id as string) || '.example.com/' as url,
+          replace(replace(html, '<nav>', '<div class="menu">'), '</nav>', '</div>') as html
+        from {pages}""",
+    "moved_x": """
+        select f.page_id as page_id, f.url as url, f.content_type as content_type, f.html as html, f.error_kind as error_kind,
+          f.error as error, cast(case when f.page_id % 13 in (1, 2, 3, 6, 8, 9, 10, 12) then
+            case f.page_id % 2 when 0 then 301 else 308 end else f.http_status end as int) as http_status,
+          case f.page_id % 13 when 1 then n.url when 2 then n.url || '#part' when 3 then n.url when 8 then n.url
+            when 9 then n.url when 10 then b.url when 12 then 'https://gone.example.com/' || cast(f.page_id as string) else null end as location
+        from {bare_x} f left join {bare_x} n on n.page_id = f.page_id + 1 left join {bare_x} b on b.page_id = f.page_id - 1""",
+    "bare_x": """
+        select page_id, regexp_replace(url, '#.*$', '') as url, http_status, content_type, html, error_kind, error from {fetches_x}""",
     "meta_x": """
         select page_id, url, case page_id % 3
           when 0 then replace(html, '<meta charset="utf-8">', '<meta charset="utf-8"><meta name="author" content="A. Writer &amp; Co"><meta content="2024-03-05T10:00:00Z" property="article:published_time">')

@@ -290,6 +290,20 @@ LIBRARY: dict[str, str] = {
         select url, parent_url from (
           select *, row_number() over (partition by url order by parent_url, position) as nth
           from {batch_links}) where nth = 1 and url not in (select url from {known})""",
+    # --- redirects: chains have three steps at most, or are loops ---
+    "moves": """
+        select url, regexp_replace(location, '#.*$', '') as target from {moved_x}
+        where http_status in (301, 302, 303, 307, 308) and location is not null""",
+    "walks": """
+        select a.url, case when d.url is null then coalesce(c.target, b.target, a.target) end as final_url,
+          case when d.url is null then cast(1 + count(b.url) + count(c.url) as bigint) end as hops
+        from {moves} a left join {moves} b on b.url = a.target left join {moves} c on c.url = b.target
+          left join {moves} d on d.url = c.target
+        group by a.url, a.target, b.target, c.target, d.url""",
+    "chains": """
+        select url, final_url, hops, case when final_url is null then 'Redirect loop' when hops > 2 then 'Too many redirects'
+          when final_url not in (select url from {moved_x}) then 'Redirect target not stored' end as error
+        from {walks}""",
     "hosted": f"select page_id, url, {_HOST} as host from {{urls_x}}",
     "predicted": f"select page_id, url, {_PREDICTED} as lang from {{hosted}}",
     "states": """
@@ -352,6 +366,26 @@ ORACLES: dict[str, str] = {
     "robots_gate": """
         select id, url, case when not allowed then 'Disallowed by robots.txt' end as error_message,
           case when allowed then status else 'failed' end as status from {decided}""",
+    "redirect_chains": "select url, final_url, hops, error from {chains}",
+    "crawl_redirected": f"""
+        select id, url, case when message is null then 'completed' else 'failed' end as status, message as error_message,
+          case when message is null then md5(text) end as text_md5
+        from (select d.id, regexp_replace(d.url, '#.*$', '') as url, {_text_of('b.blocks')} as text, case
+            when not d.allowed then 'Disallowed by robots.txt'
+            when c.error is not null then 'Request error: ' || c.error
+            when f.error_kind = 'request' then 'Request error: ' || f.error
+            when f.error_kind = 'other' then 'Unexpected error: ' || f.error
+            when f.http_status not between 200 and 299 then 'HTTP ' || f.http_status
+            when not contains(lower(coalesce(f.content_type, '')), 'text/html') then 'Not HTML: ' || coalesce(f.content_type, '')
+            when trim(f.html) = '' or length({_text_of('b.blocks')}) < 50 then 'Content extraction failed' end as message
+          from {{decided}} d left join {{chains}} c on c.url = regexp_replace(d.url, '#.*$', '')
+            left join {{moved_x}} f on f.url = coalesce(c.final_url, regexp_replace(d.url, '#.*$', ''))
+            left join {{page_blocks}} b on b.page_id = f.page_id)""",
+    "stored_frontier": "select url from {known} union select url from {admitted}",
+    "html_deep_regions": f"select page_id, regexp_replace(html, {_MAIN}, '', 'g') as html from {{pages}}",
+    "html_link_density": """
+        select page_id, unnest(blocks) as block, cast(generate_subscripts(blocks, 1) - 1 as int) as pos
+        from {page_blocks}""",
     "outcome_classify": "select id, url, status, error_message from {batch}",
     "outcome_robots": _OUTCOME + "error_message = 'Disallowed by robots.txt'",
     "outcome_request_error": _OUTCOME + "error_message like 'Request error: %'",

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from checks.fixtures import ALLOWED, table
 from webcorpus import CrawlOptions, schemas
 from webcorpus.functions import html, language, linkrules, urls
-from webcorpus.operators import content, frontier, links, outcomes, robots
+from webcorpus.operators import content, frontier, links, outcomes, redirects, robots
 from webcorpus.operators import language as languages
 from webcorpus.plans import crawl
-from webcorpus.plans.storage import new_folder
+from webcorpus.plans.keyed_store import KeyedStore
+from webcorpus.plans.storage import new_folder, stage
 from webcorpus.sources import sinks, tables
 from webcorpus.streaming import jobs
 
@@ -199,6 +200,18 @@ def admit_counts(spark, sf_dir):
     return frontier.admit_counts(_links(spark, sf_dir), _known(spark, sf_dir))
 
 
+@query
+def stored_frontier(spark, sf_dir):
+    """The frontier after links were admitted in three batches to a store of known URLs."""
+    store = KeyedStore(spark, new_folder(spark, "frontier"), schemas.URLS, "url")
+    store.begin(_known(spark, sf_dir).distinct())
+    found = stage(_links(spark, sf_dir), "links")
+    for batch in range(3):
+        own = found.where(F.pmod(F.xxhash64("parent_url"), F.lit(3)) == batch)
+        store.add(stage(frontier.admit_to_store(own, store, batch), "admitted").select("url"), batch)
+    return store.read()
+
+
 @query
 def link_cap(spark, sf_dir):
     return links.cap_links(_links(spark, sf_dir), CAP).select("parent_url", "position", "url")
@@ -279,6 +292,29 @@ def robots_gate(spark, sf_dir):
     )
 
 
+# --- redirects ---------------------------------------------------------------------
+
+
+def _moved(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    fetches = table(spark, sf_dir, "moved_x")
+    return fetches, redirects.follow_redirects(fetches, max_redirects=2)
+
+
+@query
+def redirect_chains(spark, sf_dir):
+    return _moved(spark, sf_dir)[1]
+
+
+@query
+def crawl_redirected(spark, sf_dir):
+    """Outcomes and texts of a batch in which chains of redirects are followed."""
+    fetches, ends = _moved(spark, sf_dir)
+    tasks = _tasks(spark, sf_dir).withColumn("url", F.regexp_replace("url", "#.*$", ""))
+    batch = crawl.crawl_batch(tasks, _rules(spark, sf_dir), fetches, OPTIONS, redirected=ends)
+    texts = batch.content.select("id", F.md5("text").alias("text_md5"))
+    return batch.outcomes.join(texts, "id", "left")
+
+
 # --- outcomes ----------------------------------------------------------------------
 
 
@@ -343,6 +379,20 @@ def html_boilerplate_regions(spark, sf_dir):
     )
 
 
+@query
+def html_deep_regions(spark, sf_dir):
+    """Pages with a comment area of 120 elements inside each other put in."""
+    return table(spark, sf_dir, "deep_x").select(
+        "page_id", html.without_boilerplate(F.col("html")).alias("html")
+    )
+
+
+@query
+def html_link_density(spark, sf_dir):
+    """Blocks of pages that are alone on their hosts and have menus in no element of navigation."""
+    return content.explode_blocks(table(spark, sf_dir, "menus_x"), "page_id")
+
+
 @query
 def html_blocks(spark, sf_dir):
     return content.explode_blocks(table(spark, sf_dir, "pages"), "page_id")

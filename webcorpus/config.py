@@ -107,6 +107,8 @@ class CrawlOptions:
     # languages of discovered links
     filter_by_language: bool = True
     allowed_languages: list[str] = field(default_factory=list)
+    # answers that lead on, in one chain
+    max_redirects: int = 20
     # content
     min_content_chars: int = MIN_CONTENT_CHARS
     max_content_length: int | None = None

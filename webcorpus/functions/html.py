@@ -12,7 +12,9 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webcorpus.functions.binding import lookup
+from webcorpus.functions import density
+from webcorpus.functions.binding import let, lookup
+from webcorpus.functions.scan import scan
 
 _OPEN = r"(?:[\s/][^<>]*)?>"
 # Inside of a tag. Quoted values may hold any bracket; outside of quotes "<" ends the
@@ -45,24 +47,11 @@ _COMMENT_ATTRIBUTE = (
     rf"""|(?:[^\s"'<>]*[_-])?{_COMMENT_NAME}(?:[_-][^\s"'<>]*)?(?=[\s>]))"""
 )
 _COMMENT_AREA = (
-    r"(section|div|ul|ol)(?=[\s/])"
+    r"<(?:section|div|ul|ol)(?=[\s/])"
     + _SKIP_ATTRIBUTES.replace("{wanted}", _COMMENT_ATTRIBUTE)
     + rf"{_COMMENT_ATTRIBUTE}{_IN_TAG}>"
 )
-#: Elements of one name inside each other that a region keeps apart; a deeper one ends at
-#: the next closing tag.
-_NESTED = 8
-
-
-def _region_rest(group: int) -> str:
-    """What follows the opening tag of the element named in a group, to its own end or that
-    of the page. Elements of the same name inside are skipped as wholes."""
-    inside = rf"(?:[^<]++|<(?!\{group}{_OPEN}|/\{group}\s*+>))*+"
-    end = rf"(?:</\{group}\s*>|\z)"
-    rest = f".*?{end}"
-    for _ in range(_NESTED):
-        rest = rf"{inside}(?:<\{group}{_OPEN}{rest}{inside})*+{end}"
-    return rest
+_AREA_TAGS = ("section", "div", "ul", "ol")
 
 
 def is_blank(html: Column) -> Column:
@@ -89,10 +78,55 @@ def visible(html: Column) -> Column:
     return _without(html, HIDDEN_TAGS, _COMMENT)
 
 
+def _without_regions(page: Column, tags: tuple[str, ...]) -> Column:
+    """Visible markup without boilerplate regions, of which `tags` are the elements.
+
+    The page is cut at the tags of these elements, and a fold over them keeps the element
+    that opened a region and how deep it is nested in itself. A region ends with that element,
+    at any depth, or with the page; closing tags that belong to no region stay.
+    """
+    tag = rf"(?is)</?(?:{'|'.join(tags)})(?=[\s/>]){_IN_TAG}>"
+    starts = rf"(?is)^(?:<(?:{'|'.join(BOILERPLATE_TAGS)})(?=[\s/>])|{_COMMENT_AREA})"
+
+    def item(token: Column, text: Column) -> Column:
+        return F.struct(
+            F.lower(F.regexp_extract(token, "^</?([a-zA-Z]+)", 1)).alias("name"),
+            F.when(F.startswith(token, F.lit("</")), -1).otherwise(1).alias("by"),
+            token.rlike(starts).alias("starts"),
+            token.alias("token"),
+            text.alias("text"),
+        )
+
+    def step(state: Column, tag: Column) -> tuple[Column, Column]:
+        deeper = F.struct(state["name"].alias("name"), (state["depth"] + tag["by"]).alias("depth"))
+        now = (
+            F.when(state["depth"] == 0, F.when(tag["starts"], F.struct(tag["name"].alias("name"), F.lit(1).alias("depth"))).otherwise(state))
+            .when(tag["name"] == state["name"], deeper)
+            .otherwise(state)
+        )
+        outside = now["depth"] == 0
+        kept = F.when(outside & (state["depth"] == 0), tag["token"]).otherwise("")
+        return now, F.concat(kept, F.when(outside, tag["text"]).otherwise(""))
+
+    def cut(texts: Column) -> Column:
+        tokens = F.regexp_extract_all(page, F.lit(tag), F.lit(0))
+        items = F.zip_with(tokens, F.slice(texts, F.lit(2), F.size(texts)), item)
+        start = F.struct(F.lit("").alias("name"), F.lit(0).alias("depth"))
+        return F.concat(F.get(texts, 0), F.array_join(scan(items, start, step, "string"), ""))
+
+    return let(F.split(page, tag, -1), cut)
+
+
 def without_boilerplate(html: Column) -> Column:
     """The visible page without navigation, footer, aside and comment areas."""
-    regions = rf"({'|'.join(BOILERPLATE_TAGS)}){_OPEN}{_region_rest(2)}"
-    return _without(html, HIDDEN_TAGS, _COMMENT, regions, _COMMENT_AREA + _region_rest(3))
+    def cut(page: Column) -> Column:
+        return (
+            F.when(page.rlike(rf"(?is){_COMMENT_AREA}"), _without_regions(page, (*BOILERPLATE_TAGS, *_AREA_TAGS)))
+            .when(page.rlike(rf"(?i)<(?:{'|'.join(BOILERPLATE_TAGS)})[\s/>]"), _without_regions(page, BOILERPLATE_TAGS))
+            .otherwise(page)
+        )
+
+    return let(visible(html), cut)
 
 
 # --- character references ---------------------------------------------------------
@@ -183,13 +217,41 @@ def _cells(row: Column) -> Column:
     return F.regexp_replace(first, rf"(?i)(?:</t[dh]\s*>\s*)?<t[dh]{_OPEN}", " | ")
 
 
+_BLOCK_TAG = rf"(?i)</?(?:{_BLOCK_TAGS})(?=[\s/>]){_IN_TAG}>"
+
+
+def _block_text(piece: Column) -> Column:
+    return squeeze(unescape(strip_tags(_cells(piece))))
+
+
+def _is_empty(text: Column) -> Column:
+    # bars alone are empty cells
+    return text.rlike(r"^[|\s]*$")
+
+
 def blocks(markup: Column) -> Column:
     """Ordered text blocks of visible markup; the cells of a table row share a block."""
-    body = _without(markup, ("title",))
-    pieces = F.split(body, rf"(?i)</?(?:{_BLOCK_TAGS})(?=[\s/>]){_IN_TAG}>", -1)
-    texts = F.transform(pieces, lambda piece: squeeze(unescape(strip_tags(_cells(piece)))))
-    # bars alone are empty cells
-    return F.filter(texts, lambda text: ~text.rlike(r"^[|\s]*$"))
+    texts = F.transform(F.split(_without(markup, ("title",)), _BLOCK_TAG, -1), _block_text)
+    return F.filter(texts, lambda text: ~_is_empty(text))
+
+
+def scored_blocks(markup: Column) -> Column:
+    """The blocks as `(text, linked)`: whether a block belongs to a list of links."""
+    body = density.marked_anchors(_without(markup, ("title",)), _IN_TAG)
+
+    def read(pieces: Column) -> Column:
+        texts = F.transform(pieces, lambda piece: _block_text(density.unmarked(piece)))
+        chars = density.link_chars(F.transform(pieces, lambda piece: unescape(strip_tags(piece))))
+        both = F.zip_with(texts, chars, lambda text, n: F.struct(text.alias("text"), n.alias("chars")))
+        return F.filter(both, lambda block: ~_is_empty(block["text"]))
+
+    def score(found: Column) -> Column:
+        linked = density.is_list_of_links(found["text"], found["chars"])
+        return F.zip_with(found, linked, lambda block, flag: F.struct(block["text"].alias("text"), flag.alias("linked")))
+
+    scored = let(let(F.split(body, _BLOCK_TAG, -1), read), score)
+    plain = F.transform(blocks(markup), lambda text: F.struct(text.alias("text"), F.lit(False).alias("linked")))
+    return F.when(markup.rlike(r"(?i)<a[\s/>]"), scored).otherwise(plain)
 
 
 # --- metadata ---------------------------------------------------------------------

@@ -22,17 +22,18 @@ MIN_TEMPLATE_SHARE = 0.01
 
 
 def with_blocks(pages: DataFrame) -> DataFrame:
-    """Adds `blocks`: the text blocks outside the boilerplate regions, or all visible
-    ones when the regions hold everything."""
-    main = pages.withColumn(
-        "__main", html.blocks(html.without_boilerplate(F.col("html")))
-    )
+    """Adds `blocks`: the text blocks outside the boilerplate regions and lists of links;
+    where that leaves nothing the lists stay, and where the regions hold everything all
+    visible blocks do."""
+    main = pages.withColumn("__markup", html.without_boilerplate(F.col("html")))
+    main = main.withColumn("__main", html.scored_blocks(F.col("__markup"))).drop("__markup")
+    main = main.withColumn("__own", F.filter("__main", lambda block: ~block["linked"]))
     return main.withColumn(
         "blocks",
-        F.when(F.size("__main") > 0, F.col("__main")).otherwise(
-            html.blocks(html.visible(F.col("html")))
-        ),
-    ).drop("__main")
+        F.when(F.size("__own") > 0, F.col("__own")["text"])
+        .when(F.size("__main") > 0, F.col("__main")["text"])
+        .otherwise(html.blocks(html.visible(F.col("html")))),
+    ).drop("__main", "__own")
 
 
 def explode_blocks(pages: DataFrame, *keys: str) -> DataFrame:

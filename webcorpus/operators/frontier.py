@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from webcorpus.config import CrawlOptions
 from webcorpus.functions import urls
+from webcorpus.plans.keyed_store import KeyedStore
+from webcorpus.plans.storage import stage
 
 
 def next_tasks(frontier: DataFrame, limit: int = 10, highest_first: bool = True) -> DataFrame:
@@ -49,6 +51,15 @@ def latest_status(events: DataFrame) -> DataFrame:
     )
 
 
+def latest_events(events: DataFrame) -> DataFrame:
+    """The last event of each task, by (ts, seq); of those alike in both, the one with the
+    greatest status and message. Folding some events first changes nothing."""
+    last = F.max(F.struct("ts", "seq", "status", "error_message"))
+    return events.groupBy("task_id").agg(last.alias("last")).select(
+        "task_id", "last.status", "last.error_message", "last.ts", "last.seq"
+    )
+
+
 def with_priority(links: DataFrame, fixed: int | None) -> DataFrame:
     """Priority of new links: the inherited one, or one for all."""
     if fixed is None:
@@ -75,6 +86,14 @@ def admit_links(links: DataFrame, known: DataFrame) -> DataFrame:
     return unique_links(links).join(known.select("url").distinct(), "url", "left_anti")
 
 
+def admit_to_store(links: DataFrame, known: KeyedStore, batch: int) -> DataFrame:
+    """Links to URLs that are not in the store before `batch`, one row each. Known URLs are
+    not shuffled: the URLs of the links are sent to the slots they hash to."""
+    fresh = stage(unique_links(links).where(F.col("url").isNotNull()), "unique-links")
+    held = stage(known.lookup(fresh.select("url"), ["url"], before=batch).distinct(), "held-urls")
+    return fresh.join(held, "url", "left_anti")
+
+
 def admit_counts(links: DataFrame, known: DataFrame) -> DataFrame:
     """One row: links added, skipped (known or repeated) and in total."""
     fresh = F.col("known").isNull()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 DISALLOWED = "Disallowed by robots.txt"
 NO_CONTENT = "Content extraction failed"
 TOO_LONG = "Content too long"
+#: Start of the message of an answer that never came.
+REQUEST_ERROR = "Request error: "
 
 
 def is_request_error() -> Column:
@@ -46,7 +48,7 @@ def error_message(allowed: Column, has_content: Column, too_long: Column | None
     text = lambda column: F.coalesce(column, F.lit(""))
     return (
         F.when(~allowed, DISALLOWED)
-        .when(is_request_error(), F.concat(F.lit("Request error: "), text(F.col("error"))))
+        .when(is_request_error(), F.concat(F.lit(REQUEST_ERROR), text(F.col("error"))))
         .when(is_unexpected(), F.concat(F.lit("Unexpected error: "), text(F.col("error"))))
         .when(is_http_error(), F.concat(F.lit("HTTP "), F.col("http_status").cast("string")))
         .when(is_not_html(), F.concat(F.lit("Not HTML: "), text(F.col("content_type"))))

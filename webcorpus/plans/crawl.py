@@ -63,6 +63,7 @@ def _processed(
     fetches: DataFrame,
     options: CrawlOptions,
     templates: DataFrame | None,
+    redirected: DataFrame | None,
     staged: bool,
     join: dict,
 ) -> DataFrame:
@@ -71,7 +72,8 @@ def _processed(
     Robots rules are applied to the narrow task table. Only pages of allowed tasks are read
     through, each once: tasks that measure small are broadcast to the fetches; of more, a
     bitmap of hashed URLs of fixed size is, and what was found in the pages that pass it is
-    joined to the tasks by URL. Html is never shuffled.
+    joined to the tasks by URL. Html is shuffled only for tasks that were redirected, and
+    only where tasks don't measure small: their links have another base than the page's URL.
     """
     gated = robots.robots_gate(tasks.select(*_TASK), rules, options, ["id"], **join)
     if staged:
@@ -80,14 +82,32 @@ def _processed(
     pages = fetches.select(*_FETCH, "html").withColumn("too_long", outcomes.is_too_long(options.max_content_length))
     gate = links.follows_links(options)
     limit = join.get("broadcast_bytes", skew.BROADCAST_BYTES)
-    if skew.measured_bytes(allowed) <= limit:
-        met = pages.join(F.broadcast(allowed), "url")
+    hot = {k: v for k, v in join.items() if k == "hot_rows"}
+    broken = None
+    moved = allowed.withColumn("fetch_url", F.col("url"))
+    if redirected is not None:
+        ends = redirected.select("url", "final_url", F.col("error").alias("broken"))
+        moved = skew.salted_join(allowed, ends, "url", ["id"], **hot)
+        moved = moved.withColumn("fetch_url", F.coalesce("final_url", "url")).drop("final_url")
+        if staged:
+            moved = stage(moved, "redirected-tasks")
+        broken = moved.where(F.col("broken").isNotNull())
+        moved = moved.where(F.col("broken").isNull()).drop("broken")
+    if skew.measured_bytes(moved) <= limit:
+        met = pages.withColumnRenamed("url", "fetch_url").join(F.broadcast(moved), "fetch_url").drop("fetch_url")
         read = _read_pages(met, options, templates, join, gate)
     else:
-        likely = skew.likely_in(pages, allowed, "url")
-        # one row per URL on the side of the fetches: no key is hot
-        read = _read_pages(likely, options, templates, join, F.lit(True)).join(allowed, "url")
+        direct = moved.where(F.col("fetch_url") == F.col("url")).drop("fetch_url")
+        likely = skew.likely_in(pages, direct, "url")
+        found = _read_pages(likely, options, templates, join, F.lit(True))
+        # many tasks may have one URL; the side of the fetches has one row of it
+        read = skew.salted_join(direct, found, "url", ["id"], "inner", **hot)
         read = read.withColumn("links", F.when(gate, F.col("links")))
+        if redirected is not None:
+            away = moved.where(F.col("fetch_url") != F.col("url"))
+            reached = skew.likely_in(pages.withColumnRenamed("url", "fetch_url"), away, "fetch_url")
+            met = skew.salted_join(away, reached, "fetch_url", ["id"], "inner", **hot).drop("fetch_url")
+            read = read.unionByName(_read_pages(met, options, templates, join, gate))
     done = outcomes.with_outcome(read, F.lit(True), F.col("text").isNotNull(), F.col("too_long"))
     finished = done.select(
         *_TASK, "status", "error_message", *_CONTENT,
@@ -99,6 +119,9 @@ def _processed(
         F.lit("failed").alias("status"),
         F.lit(outcomes.DISALLOWED).alias("error_message"),
     )
+    if broken is not None:
+        message = F.concat(F.lit(outcomes.REQUEST_ERROR), "broken").alias("error_message")
+        refused = refused.unionByName(broken.select(*_TASK, F.lit("failed").alias("status"), message))
     return finished.unionByName(refused, allowMissingColumns=True)
 
 
@@ -109,15 +132,19 @@ def crawl_batch(
     options: CrawlOptions,
     templates: DataFrame | None = None,
     staged: bool = True,
+    redirected: DataFrame | None = None,
     **join,
 ) -> CrawlBatch:
     """Process the tasks for which a fetch is stored, and those robots rules refuse.
 
     `tasks` has `(id, url, depth, parent_score)`, `rules` comes from
     `operators.robots.rules_for_agent`, `fetches` has one row per URL. With `staged` the
-    processed table is written once, and every result reads only its own columns.
+    processed table is written once, and every result reads only its own columns. With
+    `redirected`, from `operators.redirects.follow_redirects`, a task whose URL redirects
+    gets the answer at the end of its chain, and fails where the chain has none. Its URL
+    stays that of the task, also as base of the links.
     """
-    done = _processed(tasks, rules, fetches, options, templates, staged, join)
+    done = _processed(tasks, rules, fetches, options, templates, redirected, staged, join)
     if staged:
         done = stage(done, "crawl-batch")
     completed = done.where(F.col("status") == "completed")
@@ -186,7 +213,7 @@ def frontier_expand(
     )
     seen = stage(known.select("url").union(seeds.select("url")).distinct(), "frontier-seen")
     hop = stage(seeds.select("url").distinct(), "frontier-hop-0")
-    grown: DataFrame | None = None
+    grown = seeds.sparkSession.createDataFrame([], "url string, priority int, depth int, parent_url string")
     for depth in range(1, options.max_depth + 1):
         parents = skew.small(hop.select(F.col("url").alias("parent_url")))
         reached = edges.join(parents, "parent_url").withColumn("depth", F.lit(depth))
@@ -195,7 +222,7 @@ def frontier_expand(
         met = seen.join(skew.small(fresh.select("url")), "url", "left_semi").distinct()
         admitted = fresh.join(met, "url", "left_anti").select("url", "priority", "depth", "parent_url")
         hop = stage(admitted, f"frontier-hop-{depth}")
-        grown = hop if grown is None else grown.unionByName(hop)
+        grown = grown.unionByName(hop)
         if hop.isEmpty():
             break
         seen = seen.union(hop.select("url"))

@@ -10,6 +10,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webcorpus.plans import files
+
 _SETTING = "spark.checkpoint.dir"
 # local mode without the setting: one folder for all sessions of this process
 _local: list[str] = []
@@ -30,17 +32,6 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes = threading.local()
 
 
-def _path(spark: SparkSession, folder: str):
-    """A Hadoop path and its file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, folder: str) -> bool:
-    path, system = _path(spark, folder)
-    return system.exists(path)
-
-
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables staged inside are removed at the end, when nothing may read them any more."""
@@ -49,8 +40,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for folder in _scopes.folders:
-            path, system = _path(spark, folder)
-            system.delete(path, True)
+            files.remove(spark, folder)
         _scopes.folders = outer
 
 

@@ -36,10 +36,11 @@ TASK_FEED = T.StructType([
 #: robots.txt answers, one row per origin; only status 200 carries rules.
 ROBOTS_RAW = _schema("origin string, http_status int, body string")
 
-#: HTTP answers. `error_kind` is NULL, 'request' (transport) or 'other'.
+#: HTTP answers. `error_kind` is NULL, 'request' (transport) or 'other'; `location` is the
+#: header of that name, where it was stored.
 FETCHES = _schema(
     "url string, http_status int, content_type string, html string, "
-    "error_kind string, error string"
+    "error_kind string, error string, location string"
 )
 
 STATUS_EVENTS = _schema(
@@ -51,6 +52,9 @@ ADMITTED = _schema(
     "id bigint, url string, priority int, domain string, status string, depth int, "
     "parent_score int, parent_url string"
 )
+#: What a crawl batch needs of a task.
+DUE = _schema("id bigint, url string, depth int, parent_score int")
+URLS = _schema("url string")
 #: Content as it is stored.
 PAYLOAD = _schema(
     "id bigint, url string, title string, content string, language string, "

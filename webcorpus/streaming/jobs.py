@@ -12,7 +12,9 @@ from webcorpus import schemas
 from webcorpus.config import CrawlOptions
 from webcorpus.operators import frontier, language, outcomes, robots
 from webcorpus.plans.crawl import crawl_batch
-from webcorpus.plans.storage import exists, scratch, stage
+from webcorpus.plans.files import exists
+from webcorpus.plans.keyed_store import KeyedStore
+from webcorpus.plans.storage import scratch, stage
 from webcorpus.sources import sinks
 
 # written once a stream has begun, beside its checkpoint
@@ -57,27 +59,51 @@ def stream_crawl(
     """Crawl batches over a stream of fetches: links, then content, then status.
 
     Writes `out/links`, `out/content` and `out/status`. `poll` is the trigger interval
-    of an endless run; None processes what is there and stops. A batch gates only the tasks
-    whose fetches it has. Tasks refused by robots rules have no fetch: `settle_refused`
-    stores their outcome.
+    of an endless run; None processes what is there and stops. Tasks and known URLs are put
+    into stores under `out` when the stream first starts; a batch then looks up those it
+    meets, so what it reads does not grow with them. Tasks refused by robots rules have no
+    fetch: `settle_refused` stores their outcome.
     """
+    spark = fetches.sparkSession
     staged_rules = stage(rules, "stream-rules")
+    due = KeyedStore(spark, f"{out}/tasks", schemas.DUE, "url")
+    with scratch(spark):
+        due.begin(tasks)
+    seen = _known_urls(spark, known, out)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        own = tasks.join(batch.select("url").distinct(), "url", "left_semi")
+        # where a URL is in many fetches or tasks, only URLs are compared
+        own = stage(due.lookup(stage(batch.select("url"), "fetched-urls")), "own-tasks")
         result = crawl_batch(own, staged_rules, batch, options, templates)
         refused = result.outcomes.where(F.col("error_message").eqNullSafe(outcomes.DISALLOWED))
         status = result.status.join(refused.select(F.col("id").alias("task_id")), "task_id", "left_anti")
-        before = _written_before(batch.sparkSession, f"{out}/links", schemas.ADMITTED, batch_id)
-        seen = known.select("url").union(before.select("url"))
-        admitted = frontier.admit_links(result.links, seen)
-        sinks.sink_links(frontier.to_frontier(admitted, options), f"{out}/links", batch_id)
+        _admit(result.links, seen, options, out, batch_id)
         sinks.sink_content(result.content, f"{out}/content", batch_id)
         sinks.sink_status(status, f"{out}/status", batch_id)
 
     return _start(fetches, step, out, poll)
 
 
+def _known_urls(spark, known: DataFrame, out: str) -> KeyedStore:
+    """The store of all URLs that are known, begun with those known before the stream and
+    those that batches of it have stored without a store."""
+    seen = KeyedStore(spark, f"{out}/frontier", schemas.URLS, "url")
+    if seen.last() is None:
+        first = known.select("url").where(F.col("url").isNotNull())
+        if exists(spark, f"{out}/links"):
+            first = first.union(sinks.read_batches(spark, f"{out}/links", schemas.ADMITTED).select("url"))
+        with scratch(spark):
+            seen.begin(first.distinct())
+    return seen
+
+
+def _admit(links: DataFrame, seen: KeyedStore, options: CrawlOptions, out: str, batch_id: int) -> None:
+    """Stores the links to URLs that no earlier batch has, and makes those URLs known."""
+    admitted = stage(frontier.admit_to_store(links, seen, batch_id), "admitted")
+    sinks.sink_links(frontier.to_frontier(admitted, options), f"{out}/links", batch_id)
+    seen.add(admitted.select("url"), batch_id)
+
+
 def settle_refused(
     tasks: DataFrame, rules: DataFrame, options: CrawlOptions, out: str, run: int
 ) -> None:
@@ -98,34 +124,39 @@ def settle_refused(
 def stream_admit_links(
     links: DataFrame, known: DataFrame, options: CrawlOptions, out: str, poll: str | None = None
 ) -> StreamingQuery:
-    """Exact de-duplication across batches against the stored frontier in `out`."""
+    """Exact de-duplication across batches against the stored frontier in `out/frontier`: a
+    batch reads the slots its URLs hash to, however many URLs are known."""
+    seen = _known_urls(links.sparkSession, known, out)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = _written_before(batch.sparkSession, f"{out}/links", schemas.ADMITTED, batch_id)
-        seen = known.select("url").union(before.select("url"))
-        admitted = frontier.admit_links(batch, seen)
-        sinks.sink_links(frontier.to_frontier(admitted, options), f"{out}/links", batch_id)
+        _admit(batch, seen, options, out, batch_id)
 
     return _start(links, step, out, poll)
 
 
+def _states(spark, out: str) -> KeyedStore:
+    return KeyedStore(spark, f"{out}/state", schemas.STATUS_EVENTS, "task_id", frontier.latest_events)
+
+
 def stream_latest_status(events: DataFrame, out: str, poll: str | None = None) -> StreamingQuery:
-    """Latest state per task; each batch stores the last event it has of a task. No state is
-    kept between batches: the stored events are folded when they are read."""
-    last = F.max_by(F.struct("status", "error_message", "ts", "seq"), F.struct("ts", "seq"))
+    """Latest state per task, in the store `out/state`: each batch adds the last event it has
+    of a task, and merges fold those of several batches. A task is in about log2(batches)
+    runs at most, and batches that are run again change nothing."""
+    store = _states(events.sparkSession, out)
+    store.begin()
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.groupBy("task_id").agg(last.alias("last")).select("task_id", "last.*")
-        sinks.sink_status(latest, f"{out}/status", batch_id)
+        store.add(batch, batch_id)
 
     return _start(events, step, out, poll)
 
 
-def read_latest_status(spark, out: str) -> DataFrame:
-    """Current state per task from the batches stored so far."""
-    return frontier.latest_status(
-        sinks.read_batches(spark, f"{out}/status", schemas.STATUS_EVENTS)
-    )
+def read_latest_status(spark, out: str, tasks: DataFrame | None = None) -> DataFrame:
+    """Current state per task, of all or of those in `tasks` `(task_id)`: then only the slots
+    they hash to are read. Reads the runs of the store, not the history of events."""
+    store = _states(spark, out)
+    found = store.read() if tasks is None else store.lookup(tasks)
+    return found.select("task_id", "status", "error_message")
 
 
 def stream_language_filter(urls: DataFrame, options: CrawlOptions) -> DataFrame:
