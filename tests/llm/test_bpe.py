@@ -1,4 +1,8 @@
 import hashlib
+import itertools
+import random
+import struct
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -54,9 +58,40 @@ def test_cuts_are_where_no_token_joins():
 
 
 def test_memory_is_bounded():
-    memory = bpe.Remembered(lambda k: k + 1, 10)
-    assert [memory[i % 37] for i in range(500)] == [i % 37 + 1 for i in range(500)]
-    assert len(memory) <= 10 and len(memory._older) <= 10
+    """By bytes, and long keys are not remembered."""
+    memory = bpe.Remembered(lambda k: (k.encode() * 4, k + " "), 40 * (bpe._ENTRY + 40))
+    for i in range(500):
+        assert memory[f"w{i % 137}"] == (f"w{i % 137}".encode() * 4, f"w{i % 137} ")
+    assert len(memory) <= 50 and 0 < len(memory._older) <= 50
+    long = "x" * bpe.LONG
+    assert memory[long][1] == long + " " and long not in memory and long not in memory._older
+
+
+@pytest.mark.parametrize("text", ["a" * 5000, "=" * 4000, "ab" * 3000, "the" * 1500, "é" * 2000, "aé" * 1000, "x" * 63 + " " + "y" * 64 + " " + "z" * 65])
+def test_long_words(library, text):
+    check(library, text)
+
+
+def test_heap_merges_as_the_scan_does():
+    rng = random.Random(1)
+    for _ in range(300):
+        word = "".join(rng.choice("theanisoer.") for _ in range(rng.randrange(1, 60)))
+        parts = [*word[:-1], word[-1] + CODER.suffix]
+        order = [CODER._ranks.get(p, len(CODER._ranks)) for p in itertools.pairwise(parts)]
+        assert [CODER.vocabulary[p] for p in CODER._merged_by_heap(parts, order)] == CODER._merged(word, True)
+
+
+def test_a_megabyte_of_one_letter(library):
+    start = time.time()
+    packed, decoded = CODER.both(b"a" * (1 << 20))
+    assert time.time() - start < 60 and decoded.replace(" ", "").startswith("a" * 1000)
+    assert packed == struct.pack(f"<{len(packed) // 4}I", *library.encode("a" * (1 << 20), add_special_tokens=False).ids)
+
+
+def test_pieces_of_long_texts(library, monkeypatch):
+    monkeypatch.setattr(bpe, "_PIECE", 50)
+    for text in [*TEXTS, " ".join(TEXTS), "wörd and\x0bmore\x0cwords\r\n" * 40, "a b " * 99 + "<|endoftext|>" + " c" * 99]:
+        check(library, text)
 
 
 def test_documents(spark, library):

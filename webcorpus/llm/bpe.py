@@ -2,8 +2,8 @@
 
 A merge makes a vocabulary token, so two bytes that stand side by side in no token of the
 vocabulary are never joined: between them a cut is certain. Words are cut there, fragments
-are merged on their own and the ids are put one after the other. No row is shuffled;
-fragments and words that were seen lately are remembered in tables of bounded size.
+are merged on their own and the ids are put one after the other. No row is shuffled; words
+that were seen lately are remembered in a table of bounded bytes.
 
 The vocabulary is a file of the tokenizers library whose words end in a suffix; its
 normalizer and the pattern of its words come from that file.
@@ -16,6 +16,7 @@ import os
 import re
 import struct
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
 import pyarrow as pa
@@ -25,22 +26,33 @@ from pyspark.sql import functions as F
 from webcorpus.llm import words
 from webcorpus.llm.batches import map_texts
 
-#: Entries of one generation of a memory; two generations are held.
-REMEMBERED = 50_000
+#: Bytes of one generation of the words remembered, and of the fragments; two generations
+#: of either are held.
+WORD_BYTES, FRAGMENT_BYTES = 44 << 20, 4 << 20
+#: Letters from which a word or fragment is not remembered, and is merged by a heap.
+LONG = 64
+#: Bytes of a text that are worked on at once, unless there is no white space to cut at.
+_PIECE = 1 << 16
+#: What an entry takes beside its texts.
+_ENTRY = 250
 
 
 class Remembered(dict):
-    """Values of a function by key; the generation before the last is forgotten."""
+    """Values of a function by key, as pairs of what can be measured; the generation before
+    the last is forgotten. Keys of `LONG` letters or more are worked out every time."""
 
-    def __init__(self, function: Callable, size: int = REMEMBERED):
-        self._function, self._size, self._older = function, size, {}
+    def __init__(self, function: Callable, limit: int):
+        self._function, self._limit, self._held, self._older = function, limit, 0, {}
 
     def __missing__(self, key):
         value = self._older.get(key)
         if value is None:
             value = self._function(key)
-        if len(self) >= self._size:
-            self._older = dict(self)
+            if len(key) >= LONG:
+                return value
+        self._held += _ENTRY + 2 * len(key) + len(value[0]) + 2 * len(value[1])
+        if self._held >= self._limit:
+            self._older, self._held = dict(self), 0
             self.clear()
         self[key] = value
         return value
@@ -76,14 +88,17 @@ class WordBpe:
         self._normal, self._parts = library.normalizer, library.pre_tokenizer
         # the file's pattern over lower-case ASCII
         self._ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\f\va-z0-9]+")
+        self._control = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+        self._space = re.compile(rb"[ \t\n\r\f\v]")
         self._joined = {
             pair
             for token in self.vocabulary
             for pair in pairwise(token.removesuffix(self.suffix))
         }
-        self._fragments = Remembered(self._merged)
-        self._words = Remembered(self._word)
-        self._chunks = Remembered(self._chunk)
+        # one table for fragments inside of words, one for those at their ends
+        self._inner = Remembered(lambda f: self._packed(self._merged(f, False)), FRAGMENT_BYTES)
+        self._last = Remembered(lambda f: self._packed(self._merged(f, True)), FRAGMENT_BYTES)
+        self._words = Remembered(self._word, WORD_BYTES)
 
     def fragments(self, word: str) -> list[str]:
         """A word in byte letters, cut between letters that no token joins."""
@@ -93,36 +108,67 @@ class WordBpe:
             return [word]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
-    def _merged(self, fragment: tuple[str, bool]) -> list[int]:
-        """Ids of a fragment; the flag says whether it ends a word."""
-        text, last = fragment
+    def _merged(self, text: str, last: bool) -> list[int]:
+        """Ids of a fragment; `last` says whether it ends a word."""
         parts = list(text)
         if last:
             parts[-1] += self.suffix
         ranks, none = self._ranks, len(self._ranks)
         order = [ranks.get(pair, none) for pair in pairwise(parts)]
-        while order:
-            best = min(order)
-            if best == none:
-                break
-            i = order.index(best)
-            parts[i] += parts.pop(i + 1)
-            del order[i]
-            if i:
-                order[i - 1] = ranks.get((parts[i - 1], parts[i]), none)
-            if i < len(order):
-                order[i] = ranks.get((parts[i], parts[i + 1]), none)
+        if len(parts) >= LONG:
+            parts = self._merged_by_heap(parts, order)
+        else:
+            while order:
+                best = min(order)
+                if best == none:
+                    break
+                i = order.index(best)
+                parts[i] += parts.pop(i + 1)
+                del order[i]
+                if i:
+                    order[i - 1] = ranks.get((parts[i - 1], parts[i]), none)
+                if i < len(order):
+                    order[i] = ranks.get((parts[i], parts[i + 1]), none)
         vocabulary = self.vocabulary
         return [vocabulary[p] for p in parts]
 
+    def _merged_by_heap(self, parts: list[str], order: list[int]) -> list[str]:
+        """The same merges, lowest rank and then leftmost first, in n log n steps: parts are
+        a linked list, and a heap holds the pairs. One whose parts changed since is skipped."""
+        ranks, none = self._ranks, len(self._ranks)
+        size = len(parts)
+        after, before = [*range(1, size), -1], list(range(-1, size - 1))
+        now: list[int] = [*order, none]  # rank of each part with the next one
+        heap = [(rank, i) for i, rank in enumerate(order) if rank != none]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            if now[i] != rank:
+                continue
+            j = after[i]
+            parts[i] += parts[j]
+            parts[j], now[j] = "", none
+            after[i] = k = after[j]
+            now[i] = none
+            if k >= 0:
+                before[k] = i
+                now[i] = ranks.get((parts[i], parts[k]), none)
+                if now[i] != none:
+                    heappush(heap, (now[i], i))
+            h = before[i]
+            if h >= 0:
+                now[h] = ranks.get((parts[h], parts[i]), none)
+                if now[h] != none:
+                    heappush(heap, (now[h], h))
+        return [p for p in parts if p]
+
     def _word(self, word: str) -> tuple[bytes, str]:
         """Packed ids of a word in byte letters, and their tokens with a space after each."""
         cut = self.fragments(word)
         if len(cut) == 1:
-            ids = self._merged((word, True))
-        else:
-            ids = [i for f in cut[:-1] for i in self._fragments[f, False]] + self._fragments[cut[-1], True]
-        return self._packed(ids)
+            return self._packed(self._merged(word, True))
+        found = [*[self._inner[f] for f in cut[:-1]], self._last[cut[-1]]]
+        return b"".join([f[0] for f in found]), "".join([f[1] for f in found])
 
     def _packed(self, ids: list[int]) -> tuple[bytes, str]:
         return struct.pack(f"<{len(ids)}I", *ids), "".join([self._spaced[i] for i in ids])
@@ -131,31 +177,37 @@ class WordBpe:
         """Words of a text without special tokens, in byte letters."""
         if text.isascii():
             found = self._ascii.findall(text.lower())
-            if text.isprintable():
+            if self._control.search(text) is None:
                 return found
             letters = self._letters
             return ["".join([letters[ord(c)] for c in w]) for w in found]
         return [w for w, _ in self._parts.pre_tokenize_str(self._normal.normalize_str(text))]
 
-    def _chunk(self, chunk: bytes) -> tuple[bytes, str]:
-        """Ids and decoded tokens of what stands between white space."""
-        text, found = chunk.decode("utf-8", "replace"), []
-        for part in self._specials.split(text) if self._opening in text else (text,):
-            if part in self._special:
-                found.append(self._packed([self._special[part]]))
-            elif part:
-                found += [self._words[w] for w in self._pieces(part)]
-        if len(found) == 1:
-            return found[0]
-        return b"".join([f[0] for f in found]), "".join([f[1] for f in found])
-
-    def encode(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
+    def _found(self, text: bytes) -> list[tuple[bytes, str]]:
+        """Ids and tokens of the words of a text.
 
-        No merge, no word and no composed character reaches over ASCII white space, so
-        what stands between is encoded by itself.
+        No merge, no word and no composed character reaches over ASCII white space, so a text
+        is cut there into pieces that are encoded by themselves.
         """
-        return b"".join([self._chunks[c][0] for c in text.split()])
+        found: list[tuple[bytes, str]] = []
+        low = 0
+        while low < len(text):
+            high = len(text)
+            if high - low > _PIECE:
+                cut = self._space.search(text, low + _PIECE)
+                high = cut.start() if cut else high
+            piece = text[low:high].decode("utf-8", "replace")
+            for part in self._specials.split(piece) if self._opening in piece else (piece,):
+                if part in self._special:
+                    found.append(self._packed([self._special[part]]))
+                elif part:
+                    found += map(self._words.__getitem__, self._pieces(part))
+            low = high
+        return found
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return b"".join([f[0] for f in self._found(text)])
 
     def decode(self, packed: bytes) -> str:
         """The tokens of ids with a space between them, as the vocabulary file has no decoder."""
@@ -163,8 +215,8 @@ class WordBpe:
         return " ".join(tokens[int.from_bytes(packed[i : i + 4], "little")] for i in range(0, len(packed), 4))
 
     def both(self, text: bytes) -> tuple[bytes, str]:
-        """`encode` and the `decode` of its ids, by chunk."""
-        found = [self._chunks[c] for c in text.split()]
+        """`encode` and the `decode` of its ids, by word."""
+        found = self._found(text)
         return b"".join([f[0] for f in found]), "".join([f[1] for f in found])[:-1]
 
 
