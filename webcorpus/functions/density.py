@@ -42,16 +42,20 @@ def _chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"\s+", ""))
 
 
+def has_mark(piece: Column) -> Column:
+    return F.contains(piece, F.lit(OPENED)) | F.contains(piece, F.lit(CLOSED))
+
+
 def link_chars(pieces: Column) -> Column:
     """Characters in anchors, white space aside, of every piece of marked markup without tags.
     An anchor that a piece leaves open goes on in the next one."""
     def step(inside: Column, piece: Column) -> tuple[Column, Column]:
-        has_mark = F.contains(piece, F.lit(OPENED)) | F.contains(piece, F.lit(CLOSED))
+        marked = has_mark(piece)
         whole = F.concat(F.when(inside, F.lit(OPENED)).otherwise(F.lit("")), piece)
         linked = F.array_join(F.regexp_extract_all(whole, F.lit(f"{OPENED}([^{OPENED}{CLOSED}]*)"), F.lit(1)), "")
         # the mark that comes last
         opened = F.length(F.substring_index(piece, OPENED, -1)) < F.length(F.substring_index(piece, CLOSED, -1))
-        return F.when(has_mark, opened).otherwise(inside), F.when(has_mark | inside, _chars(linked)).otherwise(0)
+        return F.when(marked, opened).otherwise(inside), F.when(marked | inside, _chars(linked)).otherwise(0)
 
     return scan(pieces, F.lit(False), step, "int")
 

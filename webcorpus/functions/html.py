@@ -241,7 +241,10 @@ def scored_blocks(markup: Column) -> Column:
 
     def read(pieces: Column) -> Column:
         texts = F.transform(pieces, lambda piece: _block_text(density.unmarked(piece)))
-        chars = density.link_chars(F.transform(pieces, lambda piece: unescape(strip_tags(piece))))
+        # a character reference counts as one character
+        chars = density.link_chars(
+            F.transform(pieces, lambda piece: F.regexp_replace(strip_tags(piece), "&#?[A-Za-z0-9]+;", "x"))
+        )
         both = F.zip_with(texts, chars, lambda text, n: F.struct(text.alias("text"), n.alias("chars")))
         return F.filter(both, lambda block: ~_is_empty(block["text"]))
 
@@ -249,9 +252,7 @@ def scored_blocks(markup: Column) -> Column:
         linked = density.is_list_of_links(found["text"], found["chars"])
         return F.zip_with(found, linked, lambda block, flag: F.struct(block["text"].alias("text"), flag.alias("linked")))
 
-    scored = let(let(F.split(body, _BLOCK_TAG, -1), read), score)
-    plain = F.transform(blocks(markup), lambda text: F.struct(text.alias("text"), F.lit(False).alias("linked")))
-    return F.when(markup.rlike(r"(?i)<a[\s/>]"), scored).otherwise(plain)
+    return let(let(F.split(body, _BLOCK_TAG, -1), read), score)
 
 
 # --- metadata ---------------------------------------------------------------------
