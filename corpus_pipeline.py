@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from webcorpus.llm import bpe, decontaminate, jaccard, line_dedup, quality
 from webcorpus.plans.storage import stage
 
-#: Documents below this probability of good quality go. It is low: clean documents stay.
-LEAST_QUALITY = 0.3
+#: Documents below this probability of good quality are rejected, as by op9.
+LEAST_QUALITY = 0.7
 
 
 def _counted(docs: DataFrame) -> DataFrame:
