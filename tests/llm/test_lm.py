@@ -88,3 +88,89 @@ def test_query(spark):
     compare(got, base_scores(docs, learned))
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held) and held
+
+
+def spelling(texts):
+    """log10 probability of a word's bytes and its end, from the bytes of the words of texts."""
+    pairs = Counter()
+    for t in texts:
+        for w in t.encode().lower().split():
+            pairs.update(zip([256, *w], [*w, 256], strict=True))
+    of = Counter()
+    for (a, _), n in pairs.items():
+        of[a] += n
+    return lambda w: sum(math.log10((pairs[p] + lm.ADDED_BYTES) / (of[p[0]] + lm.ADDED_BYTES * 257)) for p in zip([256, *w], [*w, 256], strict=True))
+
+
+def test_spelling_same_as_brute_force():
+    texts = ["Ab b\tcafé", "", "zz", "b ab  q"]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    _, _, found, _ = lm._tokens(np.frombuffer(data, np.uint8), offsets)
+    table = lm.spelling_of(lm.count_bytes(found, np.ones(len(found.starts), dtype=bool)))
+    want = spelling(texts)
+    words = [w for t in texts for w in t.encode().lower().split()]
+    np.testing.assert_allclose(lm.spelled(found, table), [want(w) for w in words])
+    some = np.arange(len(words)) % 2 == 0
+    table = lm.spelling_of(lm.count_bytes(found, some))
+    want = spelling([b" ".join(w for w, s in zip(words, some, strict=True) if s).decode()])
+    np.testing.assert_allclose(lm.spelled(found, table), [want(w) for w in words])
+
+
+def test_spellings_add_up_to_one():
+    counts = np.random.default_rng(2).integers(0, 9, 257 * 257)
+    steps = 10.0 ** lm.spelling_of(counts).reshape(257, 257)
+    np.testing.assert_allclose(steps.sum(axis=1), 1)
+    at = np.zeros(257)
+    at[256], ended = 1.0, 0.0
+    for _ in range(5000):
+        at = at @ steps
+        ended, at[256] = ended + at[256], 0.0
+    assert ended == pytest.approx(1, abs=1e-6)
+
+
+def test_score_same_as_brute_force(spark, monkeypatch):
+    """Few words are frequent, so most are looked up by bucket or spelled."""
+    monkeypatch.setattr(lm, "FREQUENT", 1)
+    monkeypatch.setattr(lm, "STEPS", 5)
+    docs = [(1, "a a b b c d"), (2, "a b e"), (3, ""), (10, "a zq zq"), (11, "b c b"), (12, None), (13, "x" * 5000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    models = []
+    monkeypatch.setattr(lm, "train", lambda follows, real=lm.train: models.append(real(follows)) or models[0])
+    got = {r.doc_id: (r.score, r.text_score) for r in lm.score_documents(df, lm.F.col("doc_id") < 10).collect()}
+    train = [t for d, t in docs if d < 10]
+    counts = Counter(t for x in train for t in tokens(x))
+    words_of = lambda text: (text or "").encode().lower().split()
+    # the most frequent token of each bucket that stands more than once has a unit of its own
+    known = lm.totals(lm.count_words(df, lm.F.col("doc_id") < 10, 8))
+    own = {int(h) for h in known.hashes}
+    hashed = lambda w: int(lm._tokens(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0])
+    rare = [w for x in train for w in words_of(x) if hashed(w) not in own]
+    likely = spelling([b" ".join(rare).decode()])
+    units, inside = lm.units_of(known)
+    place = {int(h): i for i, h in enumerate(known.hashes)}
+    for d, text in docs:
+        total, letters, context = 0.0, 0.0, (lm.UNITS, lm.UNITS)
+        for w in [*words_of(text), None]:
+            at = place.get(int(lm.END) if w is None else hashed(w))
+            unit = lm.UNITS - 1 if at is None else int(units[at])
+            total += models[0][context[0] * (lm.UNITS + 1) + context[1], unit]
+            if at is not None:
+                total += inside[at]
+            else:
+                total += float(known.inside_rare(np.array([counts[w]]))[0])
+                letters += 0 if counts[w] else likely(w)
+            context = (context[1], unit)
+        assert got[d] == pytest.approx((total, total + letters), rel=1e-4), d
+
+
+def test_random_letters_score_below_prose(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(5)
+    junk = [(-i, " ".join("".join(map(chr, rng.integers(97, 123, 9))) for _ in range(100))) for i in range(1, 21)]
+    both = docs.union(spark.createDataFrame(junk, "doc_id long, text string"))
+    remainder = lm.F.crc32(lm.F.col("doc_id").cast("string").cast("binary")) % 10
+    rows = lm.score_documents(both, (lm.F.col("doc_id") > 0) & (remainder != 0)).where("held_out").collect()
+    each = lambda own: [r.text_score / r.n_tokens for r in rows if own(r)]
+    assert max(each(lambda r: r.doc_id < 0)) < min(each(lambda r: r.doc_id > 0 and r.n_tokens > 20))

@@ -10,7 +10,12 @@ products over all pairs of units then give normalised log probabilities.
 
 The probability of a token is that of its unit times that of the word in the unit: its
 share of the counts. In the last unit one event stands for all unknown words, with the
-probability that words seen once give it. All events together have probability 1.
+probability that words seen once give it. All events together have probability 1: `score` is
+that of the events of a text, as its base is. `text_score` is that of the text itself: an
+unknown word has the probability of the event times that of its bytes, each given the one
+before, and of its end, learned from rare training words. Over all strings these add up to 1,
+so all texts together have at most 1. Texts of random letters are unlikely by `text_score`
+only; filter by that.
 
 Frequent words are looked up in a table of bounded size that every task holds. Rare words,
 which no text has many of, are dealt by hash to where their counts are, and only sums per
@@ -42,7 +47,11 @@ VECTOR, NOISE, STEPS = 16, 8, 160
 RUN_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
 #: Added to each count by the base score.
 ADDED = 0.1
+#: Added to each count of a byte after a byte.
+ADDED_BYTES = 0.5
 END = np.uint64(0xE4D0F7E478C1A53B)
+#: Kinds of bytes in a word's spelling; the last is its start and its end.
+_BYTES = 257
 
 
 @dataclass
@@ -73,16 +82,19 @@ class Counts:
 
 @dataclass
 class Model:
-    """What scoring needs: units and shares of frequent words, log10 P(unit | two units)."""
+    """What scoring needs: units and shares of frequent words, log10 P(unit | two units),
+    log10 P(byte | byte before) of unknown words."""
 
     counts: Counts
     units: np.ndarray
     inside: np.ndarray
     table: np.ndarray
+    spelling: np.ndarray
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of texts, an end after each, and the first token of each text."""
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, words.Words, np.ndarray]:
+    """Hashes of the tokens of texts, an end after each, the first token of each text, the
+    words, and which tokens are ends."""
     found = words.split(words.LOWER[data], offsets)
     first = found.first + np.arange(len(found.first))
     out = np.empty(int(first[-1]), dtype=np.uint64)
@@ -90,7 +102,38 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     end[first[1:] - 1] = True
     out[~end] = found.hashes()
     out[end] = END
-    return out, first
+    return out, first, found, end
+
+
+def _steps_of_bytes(found: words.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Per byte of the texts its cell in the table of bytes after bytes, and per word that of its end."""
+    cell = found.data.astype(np.int64)
+    cell[1:] += found.data[:-1].astype(np.int64) * _BYTES
+    cell[found.starts] = found.data[found.starts].astype(np.int64) + (_BYTES - 1) * _BYTES
+    return cell, found.data[found.ends - 1].astype(np.int64) * _BYTES + _BYTES - 1
+
+
+def count_bytes(found: words.Words, chosen: np.ndarray) -> np.ndarray:
+    """How often each byte follows each byte in the chosen words, flat."""
+    cell, last = _steps_of_bytes(found)
+    inside = np.zeros(len(cell) + 1, dtype=np.int64)
+    np.add.at(inside, found.starts[chosen], 1)
+    np.add.at(inside, found.ends[chosen], -1)
+    seen = np.concatenate([cell[np.cumsum(inside)[:-1] > 0], last[chosen]])
+    return np.bincount(seen, minlength=_BYTES * _BYTES)
+
+
+def spelling_of(counts: np.ndarray) -> np.ndarray:
+    """log10 P(byte | byte before), flat; without counts all are equally likely."""
+    added = counts.reshape(_BYTES, _BYTES) + ADDED_BYTES
+    return np.log10(added / added.sum(axis=1, keepdims=True)).ravel()
+
+
+def spelled(found: words.Words, spelling: np.ndarray) -> np.ndarray:
+    """log10 probability of the bytes and the end of each word; over all strings it is 1."""
+    cell, last = _steps_of_bytes(found)
+    sums = np.concatenate([[0.0], np.cumsum(spelling[cell])])
+    return sums[found.ends] - sums[found.starts] + spelling[last]
 
 
 _COUNT = {"hash": np.uint64, "number": np.int64}
@@ -176,9 +219,11 @@ def _codes(unit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return two * width + one, unit
 
 
-def count_units(docs: DataFrame, learn: Column, shared, column: str = "text") -> np.ndarray:
-    """How often each unit follows each pair of units: (UNITS + 1)**2 by UNITS."""
-    cells = (UNITS + 1) ** 2 * UNITS
+def count_units(docs: DataFrame, learn: Column, shared, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """How often each unit follows each pair of units, (UNITS + 1)**2 by UNITS, and each byte
+    each byte in rare words."""
+    units = (UNITS + 1) ** 2 * UNITS
+    cells = units + _BYTES * _BYTES
     parts = 16
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +231,9 @@ def count_units(docs: DataFrame, learn: Column, shared, column: str = "text") ->
         total = np.zeros(cells, dtype=np.int64)
         for batch in batches:
             for _, _, data, offsets in words.steps(batch.column(0)) if batch.num_rows else ():
-                tokens, first = _tokens(data, offsets)
+                tokens, first, found, end = _tokens(data, offsets)
                 _, at, inverse = _looked_up(tokens, model)
+                total[units:] += count_bytes(found, (at < 0)[inverse[~end]])
                 unit = np.full(len(at), UNITS - 1)
                 unit[at >= 0] = model.units[at[at >= 0]]
                 context, follows = _codes(unit[inverse], first)
@@ -211,7 +257,7 @@ def count_units(docs: DataFrame, learn: Column, shared, column: str = "text") ->
     out = np.zeros(cells, dtype=np.int64)
     for row in rows:
         out[np.frombuffer(row.code, np.uint32)] = np.frombuffer(row.number, np.int64)
-    return out.reshape(-1, UNITS)
+    return out[:units].reshape(-1, UNITS), out[units:]
 
 
 def train(follows: np.ndarray, steps: int = STEPS, seed: int = 3) -> np.ndarray:
@@ -258,8 +304,8 @@ def train(follows: np.ndarray, steps: int = STEPS, seed: int = 3) -> np.ndarray:
     return (scores / np.log(10)).astype(f32)
 
 
-_LOCAL = {"ids": np.int64, "none": np.uint8, "held": np.uint8, "tokens": np.int64, "known": np.int64, "base": np.float64, "score": np.float64}
-_TAIL = "bucket int, kind int, chunk long, hash binary, number binary, text binary, " + ", ".join(f"{n} binary" for n in _LOCAL)
+_LOCAL = {"ids": np.int64, "none": np.uint8, "held": np.uint8, "tokens": np.int64, "known": np.int64, "base": np.float64, "score": np.float64, "spelled": np.float64}
+_TAIL = "bucket int, kind int, chunk long, hash binary, number binary, text binary, letters binary, " + ", ".join(f"{n} binary" for n in _LOCAL)
 
 
 def _score_frequent(shared, buckets: int):
@@ -274,8 +320,11 @@ def _score_frequent(shared, buckets: int):
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for low, high, data, offsets in words.steps(batch.column(2)) if batch.num_rows else ():
-                tokens, first = _tokens(data, offsets)
+                tokens, first, found, end = _tokens(data, offsets)
                 value, at, inverse = _looked_up(tokens, model)
+                # an end that no training text has counts as the empty word
+                likely = np.full(len(value), model.spelling[-1])
+                likely[inverse[~end]] = spelled(found, model.spelling)
                 unit = unit_of[at][inverse]
                 context, _ = _codes(unit, first)
                 score = model.table[context, unit].astype(np.float64) + inside_of[at][inverse]
@@ -287,18 +336,19 @@ def _score_frequent(shared, buckets: int):
                     "ids": np.asarray(ids.fill_null(0)), "none": np.asarray(ids.is_null()),
                     "held": np.asarray(batch.column(1).slice(low, high - low)), "tokens": np.diff(first),
                     "known": per_row(frequent), "base": per_row(base_of[at][inverse]), "score": per_row(score),
+                    "spelled": np.zeros(high - low),
                 }
                 rare = np.flatnonzero(~frequent)
                 # a word of a text goes once, with how often it stands there
                 pair, number = np.unique(row[rare] * len(value) + inverse[rare], return_counts=True)
-                text, which = pair // len(value), value[pair % len(value)]
+                text, which, likely = pair // len(value), value[pair % len(value)], likely[pair % len(value)]
                 cut = dealt(
                     (which % np.uint64(buckets)).astype(np.int64),
-                    {"hash": which, "number": number.astype(np.uint32), "text": text.astype(np.uint16)},
+                    {"hash": which, "number": number.astype(np.uint32), "text": text.astype(np.uint16), "letters": likely.astype(np.float32)},
                 )
                 n = len(cut["bucket"])
                 columns = {"bucket": [*cut["bucket"], chunk % buckets], "kind": [1] * n + [2], "chunk": [chunk] * (n + 1)}
-                columns |= {c: [*cut[c], None] for c in ("hash", "number", "text")}
+                columns |= {c: [*cut[c], None] for c in ("hash", "number", "text", "letters")}
                 columns |= {c: [None] * n + [local[c].astype(kind).tobytes()] for c, kind in _LOCAL.items()}
                 kinds = {"bucket": pa.int32(), "kind": pa.int32(), "chunk": pa.int64()}
                 yield pa.RecordBatch.from_arrays([pa.array(columns[c], kinds.get(c, pa.binary())) for c in names], names=names)
@@ -333,7 +383,8 @@ def _score_rare(shared):
                         at = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
                         found = np.where(hashes[at] == value, numbers[at], 0)
                     text, at = np.unique(np.frombuffer(r["text"], np.uint16), return_inverse=True)
-                    for name, each in (("known", found > 0), ("base", counts.base(found)), ("score", counts.inside_rare(found))):
+                    letters = np.where(found > 0, 0, np.frombuffer(r["letters"], np.float32))
+                    for name, each in (("known", found > 0), ("base", counts.base(found)), ("score", counts.inside_rare(found)), ("spelled", letters)):
                         new[name] = np.bincount(at, weights=each * times).astype(_LOCAL[name]).tobytes()
                     new["text"] = text.tobytes()
                 for n in names:
@@ -348,10 +399,11 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunk, held = None, {}
 
     def done() -> pa.RecordBatch:
+        held["text_score"] = held["score"] + held["spelled"]
         ids = pa.array(held["ids"], mask=held["none"].astype(bool))
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(held["held"].astype(bool)), *[pa.array(held[n]) for n in ("tokens", "known", "base", "score")]],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+            [ids, pa.array(held["held"].astype(bool)), *[pa.array(held[n]) for n in ("tokens", "known", "base", "score", "text_score")]],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "text_score"],
         )
 
     for batch in batches:
@@ -363,26 +415,27 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = {n: np.frombuffer(r[n], kind).copy() for n, kind in _LOCAL.items()}
                 continue
             text = np.frombuffer(r["text"], np.uint16)
-            for name in ("known", "base", "score"):
+            for name in ("known", "base", "score", "spelled"):
                 held[name][text] += np.frombuffer(r[name], _LOCAL[name])
     if chunk is not None:
         yield done()
 
 
 def score_documents(docs: DataFrame, learn: Column, column: str = "text") -> DataFrame:
-    """`(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)` per row.
+    """`(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, text_score)` per row.
 
     Learns from the rows where `learn` holds. A NULL or empty text is one end; repeated rows
     count and are scored as often as they stand there. Words are told apart by 64-bit
-    hashes. Without any training text every word is unknown and units are equally likely.
+    hashes. Without any training text every word is unknown, and units and bytes are equally likely.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     table = stage(count_words(docs, learn, buckets, column), "word-counts")
     counts = totals(table)
-    model = Model(counts, *units_of(counts), np.zeros((1, 1)))
-    model.table = train(count_units(docs, learn, spark.sparkContext.broadcast(model), column))
+    model = Model(counts, *units_of(counts), np.zeros((1, 1)), np.zeros(1))
+    follows, letters = count_units(docs, learn, spark.sparkContext.broadcast(model), column)
+    model.table, model.spelling = train(follows), spelling_of(letters)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (~F.coalesce(learn, F.lit(False))).alias("held"),
@@ -394,10 +447,10 @@ def score_documents(docs: DataFrame, learn: Column, column: str = "text") -> Dat
     sums = met.mapInArrow(_score_rare(shared), _SUMS)
     runs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     added = sums.repartition(runs, "chunk").sortWithinPartitions("chunk", F.col("ids").isNull()).mapInArrow(
-        _added, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        _added, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, text_score double"
     )
     return added.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score", "text_score"
     )
 
 
