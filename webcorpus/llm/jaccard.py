@@ -37,7 +37,7 @@ HEAVY = 64
 BLOCK = 1024
 #: One text in so many is looked at for frequent shingles, which at least `OFTEN` of them
 #: have; so many shingles at most go last in the order.
-SAMPLED, OFTEN, FREQUENT = 64, 3, 200_000
+SAMPLED, OFTEN, FREQUENT = 16, 3, 500_000
 #: Bytes of text per bucket of tiles.
 BUCKET_BYTES = 8 << 20
 _SIZE_TOP = 65_535
@@ -122,8 +122,8 @@ def frequent_shingles(docs: DataFrame, column: str = "text") -> np.ndarray:
 
     counted = map_texts(sample, [F.lit(0).alias("__")], run, "shingle long, n long", column)
     often = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    top = often.orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").collect()
-    return np.sort(np.array([r.shingle for r in top], dtype=np.int64).view(np.uint64))
+    top = often.orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toArrow()
+    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 _ENTRY = {"key": np.uint64, "node": np.int64, "size": np.uint16}
