@@ -362,6 +362,9 @@ ORACLES: dict[str, str] = {
         group by k.origin""",
     "robots_allowed": "select id, url, allowed from {decided}",
     "robots_delay": "select id, robots_delay from {decided}",
+    "robots_at_fetch": """
+        select id, allowed or not held as allowed, case when held then robots_delay end as robots_delay
+        from (select *, id % 30 between 10 and 19 or id % 30 >= 25 as held from {decided})""",
     "effective_delay": "select id, case when robots_delay > 0 then robots_delay else 1.0::double end as delay from {decided}",
     "robots_gate": """
         select id, url, case when not allowed then 'Disallowed by robots.txt' end as error_message,

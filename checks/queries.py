@@ -274,6 +274,18 @@ def robots_delay(spark, sf_dir):
     return decided.select("id", "robots_delay")
 
 
+@query
+def robots_at_fetch(spark, sf_dir):
+    """Every origin has its text from hour 10 on, none from hour 20 on, and again from hour 25 on."""
+    raw = table(spark, sf_dir, "robots_raw_x")
+    hours = lambda n: F.timestamp_seconds(F.lit(1_700_000_000) + n * 3600)
+    gone = raw.select("origin", F.lit(404).alias("http_status"), "body", hours(F.lit(20)).alias("fetched_at"))
+    texts = raw.select("origin", "http_status", "body", F.explode(F.array(hours(F.lit(10)), hours(F.lit(25)))).alias("fetched_at"))
+    rules = stage(robots.rules_by_time(texts.unionByName(gone), OPTIONS.user_agent), "rules-by-time")
+    tasks = _tasks(spark, sf_dir).withColumn("fetched_at", hours(F.col("id") % 30))
+    return robots.with_robots_at(tasks, rules, ["id"]).select("id", "allowed", "robots_delay")
+
+
 def _gated(spark, sf_dir) -> DataFrame:
     return robots.robots_gate(_tasks(spark, sf_dir), _rules(spark, sf_dir), OPTIONS, ["id"])
 
