@@ -605,13 +605,14 @@ def filter_language(spark, sf_dir):
 def crawl_batch(spark, sf_dir):
     """Every task of the batch with what became of it."""
     batch = _batch(spark, sf_dir, staged=True)
-    found = batch.links.groupBy("parent_url").agg(F.count(F.lit(1)).alias("links"))
+    # several tasks may have one URL
+    found = batch.links.groupBy("task_id").agg(F.count(F.lit(1)).alias("links"))
     texts = batch.content.select(
         "id", "title", "language", F.md5("text").alias("text_md5")
     )
     return (
         batch.outcomes.join(texts, "id", "left")
-        .join(found, F.col("url") == F.col("parent_url"), "left")
+        .join(found, F.col("id") == F.col("task_id"), "left")
         .select(
             "id", "url", "status", "error_message", "title", "language", "text_md5",
             F.coalesce("links", F.lit(0)).cast("bigint").alias("links"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.functions import urls
 from webcorpus.functions.linkrules import valid_scheme
+from webcorpus.operators.answers import one_per_url
 from webcorpus.plans.skew import salted_join
 from webcorpus.plans.storage import stage
 
@@ -35,11 +36,12 @@ def redirects(fetches: DataFrame) -> DataFrame:
 def follow_redirects(fetches: DataFrame, max_redirects: int = 20, **hot) -> DataFrame:
     """`(url, final_url, hops, error)` of every URL that redirects.
 
-    `fetches` has one row per URL. `error` is NULL where a stored answer that doesn't lead on
+    Of several answers for a URL one counts (`answers.one_per_url`). `error` is NULL where a stored answer that doesn't lead on
     is reached within `max_redirects` steps; otherwise it says that the chain is a loop or
     leads into one, that it is longer, that its end is not stored, or that it is not a web
     address. `final_url` is the last URL of a chain, NULL for a loop, which has no `hops`.
     """
+    fetches = one_per_url(fetches)
     found = redirects(fetches)
     named = found.select(F.col("url").alias("at"), F.lit(True).alias("moves"))
     first = salted_join(found.withColumnRenamed("target", "at"), named, "at", ["url"], **hot)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webcorpus.config import CrawlOptions
 from webcorpus.functions import html
 from webcorpus.functions.binding import computed_once
-from webcorpus.operators import content, frontier, links, outcomes, robots
+from webcorpus.operators import answers, content, frontier, links, outcomes, robots
 from webcorpus.plans import skew
 from webcorpus.plans.storage import stage
 
@@ -138,12 +138,14 @@ def crawl_batch(
     """Process the tasks for which a fetch is stored, and those robots rules refuse.
 
     `tasks` has `(id, url, depth, parent_score)`, `rules` comes from
-    `operators.robots.rules_for_agent`, `fetches` has one row per URL. With `staged` the
+    `operators.robots.rules_for_agent`. Where `fetches` has several answers for a URL, one
+    counts (`operators.answers.one_per_url`), so a task has one outcome. With `staged` the
     processed table is written once, and every result reads only its own columns. With
     `redirected`, from `operators.redirects.follow_redirects`, a task whose URL redirects
     gets the answer at the end of its chain, and fails where the chain has none. Its URL
     stays that of the task, also as base of the links.
     """
+    fetches = answers.one_per_url(fetches)
     done = _processed(tasks, rules, fetches, options, templates, redirected, staged, join)
     if staged:
         done = stage(done, "crawl-batch")
@@ -152,7 +154,8 @@ def crawl_batch(
         outcomes=done.select("id", "url", "status", "error_message"),
         content=completed.select("id", "url", "title", "text", "language", "author", "date"),
         links=frontier.with_priority(
-            links.explode_links(completed.where(F.size("links") > 0)), options.fixed_priority
+            links.explode_links(completed.where(F.size("links") > 0), ("id",)).withColumnRenamed("id", "task_id"),
+            options.fixed_priority,
         ),
         status=frontier.status_transitions(done.select("id", "status", "error_message")),
     )

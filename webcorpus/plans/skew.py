@@ -88,10 +88,16 @@ def lookup_join(
 
 
 def likely_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is in `keys`, and few others, without a shuffle of `df`.
+    """The rows whose key is in `keys`, and few others, without a shuffle of `df`. NULL keys
+    are left out."""
+    return with_likely(df, keys, key, "__likely").where("__likely").drop("__likely")
+
+
+def with_likely(df: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds `name`: true for the rows whose key is in `keys`, and few others, never for NULL.
 
     Keys are hashed to the bits of one bitmap, which is broadcast in pieces of 4 KB and has
-    16 MB at most, however many keys there are. NULL keys are left out.
+    16 MB at most, however many keys there are. `df` is not shuffled.
     """
     def bit(column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
@@ -105,10 +111,9 @@ def likely_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     marked = df.withColumn("__piece", F.bitmap_bucket_number(bit(key)))
     place = F.bitmap_bit_position(bit(key))
     byte = F.conv(F.hex(F.substr("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.expr("shiftright(__byte, __shift) % 2 = 1")
+    is_set = F.coalesce(F.expr("shiftright(__byte, __shift) % 2 = 1"), F.lit(False))
     return (
-        marked.join(F.broadcast(pieces), "__piece")
+        marked.join(F.broadcast(pieces), "__piece", "left")
         .withColumns({"__byte": byte, "__shift": (place % 8).cast("int")})
-        .where(is_set)
-        .select(*df.columns)
+        .select(*df.columns, (is_set & F.col(key).isNotNull()).alias(name))
     )
