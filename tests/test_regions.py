@@ -161,3 +161,30 @@ def test_seven_kinds_of_pages_lose_no_paragraph(spark):
     assert len(found) == 7
     for r in found:
         assert r.text.count("The ferry leaves") == cases[int(r.url.rsplit("/", 1)[1])].count("The ferry leaves")
+
+
+def test_states_are_those_of_a_plain_fold(spark):
+    from webcorpus.functions.scan import states
+
+    rows = [(list(range(-n, n)),) for n in (0, 1, 2, 7, 40)] + [(None,)]
+    df = spark.createDataFrame(rows, "items array<int>")
+    got = df.select("items", states(F.col("items"), lambda state, item: F.when(item % 3 == 0, item).otherwise(state + 1)).alias("states")).collect()
+    for r in got:
+        state, want = 0, []
+        for item in r.items or []:
+            state = item if item % 3 == 0 else state + 1
+            want.append(state)
+        assert (r.states or []) == want
+
+
+def test_leaf_elements_and_mark_characters_change_no_region(spark):
+    cases = {
+        "<div a='x\x1e'>q\x1f<div>p</div>\x1a0<div class=comments>z<div>\x1e</div></div>\x1et\x1a2</div>": "<div a='x\x1e'>q\x1f<div>p</div>\x1a0\x1et\x1a2</div>",
+        "</div><nav><div></nav>x</div><div class='a comments b'><ul><li><div>": "</div>x</div>",
+        "<DIV ID=comments><div>a<Div data-comment=1>b</dIV></div>c</div >d</nav>": "d</nav>",
+        "<ul><ul class='comment-list'><ul></ul>x</ul>y</ul>": "<ul>y</ul>",
+        '<div class="comment"></div>a<div>b<div>c</div></div><footer>': "a<div>b<div>c</div></div>",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "html string")
+    for r in df.select("html", html.without_boilerplate(F.col("html")).alias("got")).collect():
+        assert r.got == cases[r.html]

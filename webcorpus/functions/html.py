@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.functions import density
 from webcorpus.functions.binding import let, lookup
-from webcorpus.functions.scan import scan
+from webcorpus.functions.scan import states
 
 _OPEN = r"(?:[\s/][^<>]*)?>"
 # Inside of a tag. Quoted values may hold any bracket; outside of quotes "<" ends the
@@ -78,43 +78,66 @@ def visible(html: Column) -> Column:
     return _without(html, HIDDEN_TAGS, _COMMENT)
 
 
+# marks before and after a tag, and what stands for such characters of the page
+_BEFORE, _AFTER, _ESCAPE = "\x1e", "\x1f", "\x1a"
+_ESCAPED = {mark: f"{_ESCAPE}{n}" for n, mark in enumerate((_ESCAPE, _BEFORE, _AFTER))}
+# an element around no other tag that opens no region, of the tags of comment areas
+_LEAF = (
+    rf"(?i){_BEFORE}(<({'|'.join(_AREA_TAGS)})(?=[\s/>])(?![^{_AFTER}]*(?:comment|disqus))[^{_AFTER}]*+{_AFTER}[^{_BEFORE}]*+)"
+    rf"{_BEFORE}(</\2(?=[\s/>]))"
+)
+
+
 def _without_regions(page: Column, tags: tuple[str, ...]) -> Column:
     """Visible markup without boilerplate regions, of which `tags` are the elements.
 
     The page is cut at the tags of these elements, and a fold over them keeps the element
     that opened a region and how deep it is nested in itself. A region ends with that element,
-    at any depth, or with the page; closing tags that belong to no region stay.
+    at any depth, or with the page; closing tags that belong to no region stay. Elements that
+    hold no tag and open no region change neither, and are not cut. The fold is over numbers:
+    a state is 64 times the depth plus the number of the element, 0 outside of regions and -1 at
+    the tag that ends one.
     """
     tag = rf"(?is)</?(?:{'|'.join(tags)})(?=[\s/>]){_IN_TAG}>"
     starts = rf"(?is)^(?:<(?:{'|'.join(BOILERPLATE_TAGS)})(?=[\s/>])|{_COMMENT_AREA})"
+    names = f" {' '.join(tags)} "
 
-    def item(token: Column, text: Column) -> Column:
-        return F.struct(
-            F.lower(F.regexp_extract(token, "^</?([a-zA-Z]+)", 1)).alias("name"),
-            F.when(F.startswith(token, F.lit("</")), -1).otherwise(1).alias("by"),
-            token.rlike(starts).alias("starts"),
-            token.alias("token"),
-            text.alias("text"),
-        )
+    def code(piece: Column) -> Column:
+        token = F.substring_index(piece, _AFTER, 1)
+        name = F.lower(F.regexp_extract(token, "^</?([a-zA-Z]+)", 1))
+        number = F.instr(F.lit(names), F.concat(F.lit(" "), name, F.lit(" ")))
+        # 0 closes, 64 opens, 128 opens a region
+        return number + F.when(F.startswith(token, F.lit("</")), 0).when(token.rlike(starts), 128).otherwise(64)
 
-    def step(state: Column, tag: Column) -> tuple[Column, Column]:
-        deeper = F.struct(state["name"].alias("name"), (state["depth"] + tag["by"]).alias("depth"))
-        now = (
-            F.when(state["depth"] == 0, F.when(tag["starts"], F.struct(tag["name"].alias("name"), F.lit(1).alias("depth"))).otherwise(state))
-            .when(tag["name"] == state["name"], deeper)
-            .otherwise(state)
+    def step(state: Column, code: Column) -> Column:
+        return (
+            F.when(state <= 0, F.when(code >= 128, code - 64).otherwise(0))
+            .when(state.bitwiseXOR(code).bitwiseAND(F.lit(63)) != 0, state)
+            .when(code >= 64, state + 64)
+            .when(state < 128, -1)
+            .otherwise(state - 64)
         )
-        outside = now["depth"] == 0
-        kept = F.when(outside & (state["depth"] == 0), tag["token"]).otherwise("")
-        return now, F.concat(kept, F.when(outside, tag["text"]).otherwise(""))
-
-    def cut(texts: Column) -> Column:
-        tokens = F.regexp_extract_all(page, F.lit(tag), F.lit(0))
-        items = F.zip_with(tokens, F.slice(texts, F.lit(2), F.size(texts)), item)
-        start = F.struct(F.lit("").alias("name"), F.lit(0).alias("depth"))
-        return F.concat(F.get(texts, 0), F.array_join(scan(items, start, step, "string"), ""))
 
-    return let(F.split(page, tag, -1), cut)
+    def kept(piece: Column, state: Column) -> Column:
+        text = F.substr(piece, F.instr(piece, F.lit(_AFTER)) + 1)
+        return F.when(state == 0, piece).when(state < 0, text).otherwise("")
+
+    def join(pieces: Column) -> Column:
+        def kept_of(after: Column) -> Column:
+            return F.array_join(F.zip_with(after, states(F.transform(after, code), step), kept), "")
+
+        return F.concat(F.get(pieces, 0), let(F.slice(pieces, F.lit(2), F.size(pieces)), kept_of))
+
+    plain = page
+    for mark, escaped in _ESCAPED.items():
+        plain = F.replace(plain, F.lit(mark), F.lit(escaped))
+    marked = F.regexp_replace(plain, tag, f"{_BEFORE}$0{_AFTER}")
+    if set(_AREA_TAGS) <= set(tags):
+        marked = F.regexp_replace(marked, _LEAF, "$1$3")
+    joined = F.replace(let(F.split(marked, _BEFORE, -1), join), F.lit(_AFTER), F.lit(""))
+    for mark, escaped in reversed(_ESCAPED.items()):
+        joined = F.replace(joined, F.lit(escaped), F.lit(mark))
+    return joined
 
 
 def without_boilerplate(html: Column) -> Column:

@@ -42,3 +42,24 @@ def scan(
         return F.when(F.size(bound) > 0, folded).otherwise(F.array().cast(f"array<{out_type}>"))
 
     return let(items, whole)
+
+
+def states(items: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The array of integer states `step(state, item)`, from the first item on; it starts at 0.
+
+    As `scan` where the outputs are the states themselves, with fewer copies: the last
+    number of the array that grows is the state.
+    """
+    def block(held: Column, part: Column) -> Column:
+        first = F.array(F.coalesce(F.try_element_at(F.try_element_at(held, F.lit(-1)), F.lit(-1)), F.lit(0)))
+        done = F.aggregate(part, first, lambda done, item: F.concat(done, F.array(step(F.element_at(done, -1), item))))
+        return F.concat(held, F.array(F.slice(done, F.lit(2), F.size(part))))
+
+    def whole(bound: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(bound))).cast("int"))
+        count = F.ceil(F.size(bound) / size).cast("int")
+        parts = F.transform(F.sequence(F.lit(1), count), lambda b: F.slice(bound, (b - 1) * size + 1, size))
+        folded = F.aggregate(parts, F.array().cast("array<array<int>>"), block, F.flatten)
+        return F.when(F.size(bound) > 0, folded).otherwise(F.array().cast("array<int>"))
+
+    return let(items, whole)
