@@ -115,3 +115,22 @@ def test_query(spark, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_latin_texts_are_read_without_the_library():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from webcorpus.llm import bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, coder = Tokenizer.from_file(path), bpe.WordBpe(path)
+    coder._parts = None  # the library's splitter is not needed
+    rng = random.Random(3)
+    signs = ["a", "B", "é", "É", "ß", "þ", "Þ", "«", "»", "¿", "§", "–", "’", "…", "€", "'", "'LL", "s", "9", " ", "\t", "\n", "\x1c", "-", "Ö", "ÀÁ"]
+    for _ in range(2000):
+        text = "é" + "".join(rng.choice(signs) for _ in range(rng.randrange(1, 30)))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert coder.encode(text.encode()) == b"".join(i.to_bytes(4, "little") for i in want), text

@@ -35,6 +35,9 @@ LONG = 64
 _PIECE = 1 << 16
 #: What an entry takes beside its texts.
 _ENTRY = 250
+#: Letters of Latin-1 in pairs of cases, and punctuation that is read without the library.
+_LATIN = "À-ÖØ-Þß-öø-þ"
+_SIGNS = "¡§©«·»¿‐‑–—‘’‚“”„…€"
 
 
 class Remembered(dict):
@@ -89,6 +92,14 @@ class WordBpe:
         # the file's pattern over lower-case ASCII
         self._ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\f\va-z0-9]+")
         self._control = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+        # the same with the letters of Latin-1, for texts of these and of some punctuation, all
+        # composed: no character of them is white space, a number or changed but by lower case
+        self._latin = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^ \t\n\r\f\va-z0-9{_LATIN}]+")
+        self._beyond = re.compile(rf"[^\x00-\x7f{_LATIN}{_SIGNS}]")
+        self._lettered = {
+            c: "".join([self._letters[b] for b in chr(c).encode()])
+            for c in [*range(0x20), *range(0x7F, 0x100), *map(ord, _SIGNS)]
+        }
         self._space = re.compile(rb"[ \t\n\r\f\v]")
         self._joined = {
             pair
@@ -181,6 +192,10 @@ class WordBpe:
                 return found
             letters = self._letters
             return ["".join([letters[ord(c)] for c in w]) for w in found]
+        if self._beyond.search(text) is None:
+            # words hold no blank
+            found = self._latin.findall(text.lower())
+            return " ".join(found).translate(self._lettered).split(" ") if found else []
         return [w for w, _ in self._parts.pre_tokenize_str(self._normal.normalize_str(text))]
 
     def _found(self, text: bytes) -> list[tuple[bytes, str]]:
