@@ -58,3 +58,39 @@ def test_a_task_has_one_outcome(spark, limit):
     assert texts[1] == texts[2] == texts[4]
     # task 2 is too deep for its links to be followed, though task 1 has the same URL
     assert {1, 3, 4} <= {r.task_id for r in batch.links.collect()} <= {0, 1, 3, 4}
+
+
+KINDS = ANSWERS + ", content_type string, html string, error_kind string, error string"
+FAILED = [(404, "text/html", PAGE, None), (200, "application/pdf", PAGE, None), (200, "text/html", " \n", None), (None, None, None, "request")]
+
+
+def _twice(n):
+    """Every URL has a page and, before or after it, an answer that fails."""
+    rows = []
+    for i in range(n):
+        status, kind, html, error = FAILED[i % 4]
+        both = [(f"{B}/{i}", 200, None, "text/html", PAGE.format(i, i), None, None), (f"{B}/{i}", status, None, kind, html, error, error)]
+        rows += both if i % 8 < 4 else both[::-1]
+    return rows
+
+
+def test_no_failure_hides_a_page(spark):
+    rows = _twice(32)
+    got = one_per_url(spark.createDataFrame(rows, KINDS)).collect()
+    assert sorted((r.url, r.html) for r in got) == sorted((f"{B}/{i}", PAGE.format(i, i)) for i in range(32))
+    # a failure that is known to be later counts, and a redirect counts before a failure
+    timed = spark.createDataFrame(rows, KINDS).withColumn("fetched_at", F.timestamp_seconds(F.when(F.col("html") == PAGE, 2).otherwise(1)))
+    late = {r.url for r in one_per_url(timed).collect() if r.html == PAGE}
+    assert late == {f"{B}/{i}" for i in range(32) if i % 4 < 2}
+    moved = [(f"{B}/{i}", *answer) for i in range(16) for answer in ((301, f"{B}/to", None, None, None, None), (404, None, "text/html", "x", None, None))]
+    assert {r.http_status for r in one_per_url(spark.createDataFrame(moved, KINDS)).collect()} == {301}
+
+
+def test_links_of_repeated_urls_are_reported_by_url(spark):
+    tasks = spark.createDataFrame([(i, f"{B}/{i % 16}", 0, 90) for i in range(32)], "id bigint, url string, depth int, parent_score int")
+    options = CrawlOptions(allowed_domains=[".*"], respect_robots=False, filter_by_language=False)
+    batch = crawl.crawl_batch(tasks, None, spark.createDataFrame(_twice(16), KINDS), options)
+    known = spark.createDataFrame([(f"{B}/n3",)], "url string")
+    got = {r.parent_url: (r.found, r.added, r.skipped) for r in crawl.report_links(batch.links, known).collect()}
+    # two tasks find the link of a page, the frontier gains it once
+    assert got == {f"{B}/{i}": (2, 0, 2) if i == 3 else (2, 1, 1) for i in range(16)}

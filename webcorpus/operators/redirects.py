@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 from webcorpus.functions import urls
 from webcorpus.functions.linkrules import valid_scheme
-from webcorpus.operators.answers import one_per_url
+from webcorpus.operators.answers import leads_on, one_per_url
 from webcorpus.plans.skew import salted_join
 from webcorpus.plans.storage import stage
 
-#: The answers that lead on if they name a location.
-STATUSES = [301, 302, 303, 307, 308]
 #: What a chain without a page at its end fails with.
 LOOP = "Redirect loop"
 TOO_MANY = "Too many redirects"
@@ -28,9 +26,8 @@ UNSUPPORTED = "Unsupported redirect target"
 def redirects(fetches: DataFrame) -> DataFrame:
     """`(url, target)` of the answers `(url, http_status, location)` that lead on. A location
     is resolved against the URL that was asked for, and loses its fragment."""
-    leads_on = F.col("http_status").isin(STATUSES) & F.col("location").rlike(r"\S")
     target = urls.defrag(urls.resolve(F.col("url"), F.col("location")))
-    return fetches.where(leads_on).select("url", target.alias("target"))
+    return fetches.where(leads_on()).select("url", target.alias("target"))
 
 
 def follow_redirects(fetches: DataFrame, max_redirects: int = 20, **hot) -> DataFrame:
